@@ -51,3 +51,23 @@ SELECT doc_id, source, size, total AS source_size, target,
             + least(size, greatest(0, CAST(floor(target) AS BIGINT) % total - before)) ELSE 0 END AS BIGINT) AS taken
 FROM placed
 """
+
+
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@_query
+def op4_bpe(spark, sf_dir):
+    from .bpe import digests
+
+    return digests(table(spark, sf_dir, "documents"), _tokenizer())
+
+
+@_query
+def op5_id_files(spark, sf_dir):
+    from .idstore import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), _tokenizer())
