@@ -71,3 +71,20 @@ def op5_id_files(spark, sf_dir):
     from .idstore import round_trip
 
     return round_trip(table(spark, sf_dir, "documents"), _tokenizer())
+
+
+def _pieces() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@_query
+def op10_language(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .langid import held_out, predict, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = train(docs.where(~held_out(4, 2)), _pieces())
+    return predict(docs, model).select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", F.col("score"))
