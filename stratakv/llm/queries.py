@@ -88,3 +88,10 @@ def op10_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = train(docs.where(~held_out(4, 2)), _pieces())
     return predict(docs, model).select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", F.col("score"))
+
+
+@_query
+def op3_simhash(spark, sf_dir):
+    from .simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
