@@ -90,17 +90,34 @@ def run_starts(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(len(text)) + begun, text
 
 
-def window_min(values: np.ndarray, size: int) -> np.ndarray:
-    """Position of the least of every ``size`` consecutive values (the last one on ties)."""
-    n = len(values) - size + 1
+def window_min(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Position of the least of every ``size`` consecutive hashes, by their upper 32 bits and then the first.
+
+    Running minima within blocks of ``size``, from the left and from the right, meet in every window.
+    """
+    n = len(hashes) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    best, at, reach = values, np.arange(len(values)), 1
-    while reach < size:
-        step = min(reach, size - reach)
-        m = len(best) - step
-        later = best[step : step + m] <= best[:m]
-        at = np.where(later, at[step : step + m], at[:m])
-        best = np.where(later, best[step : step + m], best[:m])
-        reach += step
-    return at[:n]
+    rows = -(-len(hashes) // size)
+    marked = np.full(rows * size, np.iinfo(np.uint64).max, np.uint64)
+    marked[: len(hashes)] = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
+    grid = marked.reshape(rows, size)
+    ahead = np.minimum.accumulate(grid, axis=1).ravel()
+    behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+    return (np.minimum(behind[:n], ahead[size - 1 : size - 1 + n]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def spaced(data: np.ndarray, start: np.ndarray, stop: np.ndarray, kept: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of the words with one space after each, where each word begins there); only kept words, if given."""
+    if kept is not None:
+        start, stop = start[kept], stop[kept]
+    lengths = stop - start
+    begin = np.cumsum(lengths + 1) - (lengths + 1)
+    out = np.full(int((lengths + 1).sum()), 32, np.uint8)
+    source = np.arange(len(out)) + np.repeat(start - begin, lengths + 1)
+    last = begin + lengths
+    source[last] = 0
+    if len(out):
+        out = data[source]
+        out[last] = 32
+    return out, begin

@@ -95,3 +95,10 @@ def op3_simhash(spark, sf_dir):
     from .simhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op7_phrases(spark, sf_dir):
+    from .phrases import dedup
+
+    return dedup(table(spark, sf_dir, "documents"))

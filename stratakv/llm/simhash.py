@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialize, text_batches, text_buffer
 from .components import components
-from .hashing import run_starts, words
+from .hashing import run_starts, spaced, words
 
 WORDS, BUDGET, SEED = 4, 4, 42
 #: Rows of a group above which it is dealt out further.
@@ -35,18 +35,8 @@ _LOWER[65:91] += 32
 def _normalized(data: np.ndarray, offsets: np.ndarray):
     """Lower-cased texts with one space after each word, and each word's span there."""
     start, stop, first = words(data, offsets)
-    keep = np.zeros(len(data) + 1, np.int32)
-    if len(start):
-        keep[start] += 1
-        np.subtract.at(keep, stop, 1)
-    inside = np.cumsum(keep[:-1]).astype(bool) if len(data) else np.zeros(0, bool)
-    lengths = stop - start
-    begin = np.cumsum(lengths + 1) - (lengths + 1)
-    out = np.full(int((lengths + 1).sum()), 32, np.uint8)
-    target = np.ones(len(out), bool)
-    target[begin + lengths] = False
-    out[target] = _LOWER[data][inside]
-    return out, begin, begin + lengths, first
+    out, begin = spaced(data, start, stop)
+    return _LOWER[out], begin, begin + (stop - start), first
 
 
 def fingerprints(batches: Iterator[pa.RecordBatch], size: int = WORDS) -> Iterator[tuple[pa.Array, np.ndarray]]:
