@@ -102,3 +102,10 @@ def op7_phrases(spark, sf_dir):
     from .phrases import dedup
 
     return dedup(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op8_suffixes(spark, sf_dir):
+    from .bwt import dedup
+
+    return dedup(table(spark, sf_dir, "documents"))
