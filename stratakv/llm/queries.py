@@ -109,3 +109,18 @@ def op8_suffixes(spark, sf_dir):
     from .bwt import dedup
 
     return dedup(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op2_additive_ann(spark, sf_dir):
+    from .additive import search
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+@_query
+def op9_multi_index(spark, sf_dir):
+    from .multiindex import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
