@@ -124,3 +124,14 @@ def op9_multi_index(spark, sf_dir):
     from .multiindex import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op6_toxicity(spark, sf_dir):
+    from .langid import held_out
+    from .toxicity import score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = train(docs, labels.where(~held_out(3, 1)))
+    return score(docs, model).select("doc_id", held_out(3, 1).alias("held_out"), "score", "predicted")
