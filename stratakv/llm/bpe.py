@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from .common import text_batches, text_buffer
 
-KEEP = 400_000
+KEEP = 300_000
 LONGEST_KEPT = 48
 
 
@@ -67,19 +67,36 @@ def merge_symbols(symbols: list[int], merges: dict[tuple[int, int], tuple[int, i
     return [x for x in alive if x >= 0]
 
 
+_MARKS_AFTER_WORD = re.compile(rb"(?<=[a-z0-9])([.,]+)(?=[ \t-\r]|\Z)")
+
+
+def split_chunks(data: bytes) -> list[bytes]:
+    """Pieces of a text that tokenize alone as they do together, as few different ones as is safe.
+
+    The file lowers case and cuts words from marks anyway, so ASCII letters are lowered and full stops and
+    commas between an ASCII letter or digit and white space come off, unless the text may hold added tokens.
+    """
+    if b"<|" not in data:
+        data = _MARKS_AFTER_WORD.sub(rb" \1", data.lower())
+    return data.split()
+
+
 class _Chunks(dict):
-    """chunk -> (ids as decimal text, decoded text), computed when first asked for."""
+    """chunk -> (ids as decimal text, decoded text), computed when first asked for; what two generations didn't ask for goes."""
 
     def __init__(self, encoder):
         super().__init__()
-        self.encoder = encoder
+        self.encoder, self.older = encoder, {}
 
     def __missing__(self, chunk: bytes):
-        ids = self.encoder.chunk_ids(chunk)
-        strings = self.encoder.strings
-        value = (" ".join(map(str, ids)), " ".join([strings[i] for i in ids]))
+        value = self.older.get(chunk)
+        if value is None:
+            ids = self.encoder.chunk_ids(chunk)
+            strings = self.encoder.strings
+            value = (" ".join(map(str, ids)), " ".join([strings[i] for i in ids]))
         if len(chunk) <= LONGEST_KEPT:
             if len(self) >= KEEP:
+                self.older = dict(self)
                 self.clear()
             self[chunk] = value
         return value
@@ -144,7 +161,7 @@ class Encoder:
 
     def encode(self, text: str | bytes | None) -> list[int]:
         data = text.encode("utf-8") if isinstance(text, str) else bytes(text or b"")
-        return [int(i) for chunk in data.split() for i in self.chunks[chunk][0].split()]
+        return [int(i) for chunk in split_chunks(data) for i in self.chunks[chunk][0].split()]
 
     def decode(self, ids: Iterable[int]) -> str:
         return " ".join([self.strings[int(i)] for i in ids])
@@ -152,7 +169,7 @@ class Encoder:
     def encode_decode(self, data: bytes) -> tuple[str, str]:
         """(ids in decimal, joined by one space; the text decoded from them)."""
         chunks = self.chunks
-        found = [chunks[c] for c in data.split()]
+        found = [chunks[c] for c in split_chunks(data)]
         return " ".join([x[0] for x in found if x[0]]), " ".join([x[1] for x in found if x[0]])
 
 

@@ -30,6 +30,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import split_chunks
 from .common import scratch_path, text_batches, text_buffer
 
 MAGIC = b"STRATAID"
@@ -47,7 +48,7 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 class LibraryEncoder:
-    """Chunk by chunk through the tokenizers library; ids as serialized bytes."""
+    """Chunk by chunk through the tokenizers library; ids as serialized bytes.  Chunks that two generations didn't hold go."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -56,14 +57,19 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.kept: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        chunks = [t.split() for t in texts]
-        kept = self.kept
-        unseen = list({c for cs in chunks for c in cs if c not in kept})
-        if len(kept) + len(unseen) > KEEP:
-            kept.clear()
-            unseen = list({c for cs in chunks for c in cs})
+        chunks = [split_chunks(t) for t in texts]
+        if len(self.kept) > KEEP:
+            self.older, self.kept = self.kept, {}
+        kept, older, unseen = self.kept, self.older, []
+        for c in {c for cs in chunks for c in cs}.difference(kept):
+            found = older.get(c)
+            if found is None:
+                unseen.append(c)
+            else:
+                kept[c] = found
         kind = f"<u{self.width}"
         for k in range(0, len(unseen), 20_000):
             part = unseen[k : k + 20_000]
