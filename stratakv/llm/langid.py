@@ -253,8 +253,8 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFr
 
     spark = docs.sparkSession
     sent, key = spark.sparkContext.broadcast((model.languages, model.vocabulary, model.p)), uuid.uuid4().hex
-    kept = docs.select("doc_id", "text", *keep).schema
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept if f.name != "text" or "text" in keep)
+    docs = docs.select(*dict.fromkeys(("doc_id", "text", *keep)))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text" or "text" in keep)
 
     def run(batches: Iterator[pa.RecordBatch]):
         if key not in _scorers:
@@ -279,4 +279,4 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFr
                 columns[k] = pa.array([t if ok else None for t, ok in zip(texts, batch.column("text").is_valid().to_pylist(), strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array([languages[i] for i in best], pa.string()), pa.array(share, pa.float64())], [*names, "lang_pred", "score"])
 
-    return docs.select("doc_id", "text", *[c for c in keep if c not in ("doc_id", "text")]).mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double")

@@ -149,8 +149,8 @@ def _covered(batch: pa.RecordBatch, size: int, gram: int) -> tuple[_Words, np.nd
 def dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) for each row of docs(doc_id, text), or kept_sha256 instead of kept.
 
-    keep_text: kept is the remaining words joined by one space; else its digest.  All other columns of docs
-    are returned too if keep_text.
+    keep_text: kept is the text itself where nothing was removed, else the remaining words joined by one space,
+    and the other columns of docs are returned too.  Without it, the digest is that of the joined words.
     """
     extra = [c for c in docs.columns if c not in ("doc_id", "text")] if keep_text else []
     rows = docs.select("doc_id", "text", *extra).withColumn("id", F.coalesce("doc_id", F.lit(_LAST)))
@@ -168,6 +168,10 @@ def dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM, keep_text: bool =
             raw = out.tobytes()
             texts = [raw[a : b - 1] if b > a else b"" for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             n = np.diff(w.first)
+            if keep_text:
+                same = np.diff(edges) == n
+                whole = batch.column("text").to_pylist()
+                texts = [a if s else b for a, b, s in zip(whole, texts, same.tolist(), strict=True)]
             values = pa.array([t.decode("utf-8") for t in texts], pa.string()) if keep_text else pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[batch.column(c) for c in extra], pa.array(n), pa.array(n - np.diff(edges)), values], ["doc_id", *extra, "n_words", "n_removed", last])
 
