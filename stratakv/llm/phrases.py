@@ -5,8 +5,9 @@
 2. Only windows with such an anchor are compared: their 96-bit hashes confirm the passages that recur, and give
    each the least doc_id in which it starts.
 3. The documents are streamed in shards of bounded text.  For each shard the confirmed passages that concern it
-   are compiled into an Aho-Corasick automaton over word numbers; the automaton locates every occurrence, and
-   the words of those with a smaller first document are removed.
+   (runs of consecutive confirmed windows, as long as they go) are compiled into an Aho-Corasick automaton over
+   word numbers; the automaton locates every occurrence, and the words of those that lie in an earlier document
+   as well, window by window, are removed.
 
 Defined results: null and wordless texts have no words and keep the empty string; texts shorter than a window
 keep all; of documents with equal doc_ids none is earlier than the other; a null doc_id counts as the largest;
@@ -97,7 +98,7 @@ def removable(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
     return found
 
 
-def compile_automaton(passages: dict[tuple[int, ...], int]):
+def compile_automaton(passages: dict[tuple[int, ...], tuple[int, int]]):
     """Automaton over word numbers; finds a passage's value where it ends."""
     import ahocorasick
 
@@ -127,22 +128,24 @@ def _covered(batch: pa.RecordBatch, size: int, gram: int) -> tuple[_Words, np.nd
     place[place == len(wanted)] = 0
     here = wanted[place] == own
     number = np.unique(w.hash, return_inverse=True)[1].tolist()
-    passages: dict[tuple[int, ...], int] = {}
-    value = firsts[at[place[here]]].tolist()
-    for start, first in zip(w.window[here].tolist(), value, strict=True):
-        passages[tuple(number[start : start + size])] = first
-    if not passages:
+    passages: dict[tuple[int, ...], tuple[int, int]] = {}
+    start, text, first_doc = w.window[here], w.text[here], firsts[at[place[here]]]
+    if not len(start):
         return w, covered
+    # consecutive windows are one passage, which is of an earlier document where the latest of its firsts is
+    begin = np.flatnonzero(np.concatenate([[True], (np.diff(start) != 1) | (np.diff(text) != 0)]))
+    end = start[np.concatenate([begin[1:], [len(start)]]) - 1] + size
+    for lo, hi, first in zip(start[begin].tolist(), end.tolist(), np.maximum.reduceat(first_doc, begin).tolist(), strict=True):
+        passages[tuple(number[lo:hi])] = (first, hi - lo)
     automaton = compile_automaton(passages)
     ids = batch.column("id").to_pylist()
     mark = np.zeros(len(covered) + 1, np.int32)
     for i in np.flatnonzero(sizes).tolist():
         lo, hi, me = int(w.first[i]), int(w.first[i + 1]), ids[i]
-        ends = [end for end, first in automaton.iter(tuple(number[lo:hi])) if first < me]
-        if ends:
-            stop = np.array(ends) + lo + 1
-            mark[stop - size] += 1
-            mark[stop] -= 1
+        for stop, (first, length) in automaton.iter(tuple(number[lo:hi])):
+            if first < me:
+                mark[lo + stop + 1 - length] += 1
+                mark[lo + stop + 1] -= 1
     return w, np.cumsum(mark[:-1]) > 0
 
 
