@@ -88,7 +88,7 @@ def shared_prefix_rows(order: np.ndarray, text: np.ndarray, size: int) -> np.nda
 def recurring_starts(contexts: list[bytes], counts: list[int], size: int) -> list[np.ndarray]:
     """For each context (``counts`` times in the input) the starts of its ``size``-byte strings that occur elsewhere as well."""
     lengths = np.array([len(c) + 1 for c in contexts])
-    text = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8)
+    text = np.frombuffer(b"\xff".join(contexts) + b"\xff", np.uint8)  # a byte that UTF-8 never has
     base = np.cumsum(lengths) - lengths
     order = suffix_order(text, size + 1)
     same = shared_prefix_rows(order, text, size)
