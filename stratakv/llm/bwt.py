@@ -8,7 +8,9 @@
    expands intervals breadth first by backward extension: a boundary between two rows reached with an interval
    of length l has common prefix l.  The expansion stops at SIZE, and boundaries never reached join strings that
    share SIZE bytes.
-4. The windows found are joined back to their documents and covered bytes are removed.
+4. An anchor whose different contexts hold more than HOT bytes (a passage that very many documents share between
+   different neighbours) does not meet in one task: its windows are hashed one by one and counted by hash.
+5. The windows found are joined back to their documents and covered bytes are removed.
 
 Defined results: null texts are empty; texts shorter than a window keep all; repeated rows are occurrences of
 their own (equal texts of SIZE bytes or more vanish from all rows); extra columns are ignored; an empty table
@@ -31,6 +33,8 @@ from .hashing import prefix_hash, run_starts, span_hash, window_min
 SIZE, GRAM = 200, 48
 #: Bytes of contexts that one transform takes; an anchor's contexts stay together.
 BLOCK = 1 << 20
+#: Bytes of one anchor's different contexts above which its windows are counted by hash instead.
+HOT = 8 << 20
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -174,7 +178,26 @@ def _contexts(docs: DataFrame, size: int, gram: int) -> DataFrame:
     return out
 
 
-def covered(docs: DataFrame, size: int = SIZE, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
+def _hot_runs(classes: DataFrame, size: int) -> DataFrame:
+    """(key, context, starts, stops) of classes(key, context, n, bytes): every window counted by a 96-bit hash."""
+
+    def windows(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for key, context, n, data in zip(*(batch.column(c).to_pylist() for c in ("key", "context", "n", "bytes")), strict=True):
+                own = np.frombuffer(data, np.uint8)
+                at = np.arange(len(own) - size + 1)
+                hashes = span_hash(prefix_hash(own), at, at + size)
+                other = span_hash(prefix_hash(own ^ np.uint8(0x5A)), at, at + size) >> np.uint64(32)
+                same = np.full(len(at), 1, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(same * key), pa.array(same * context), pa.array(same * n), pa.array(at), pa.array(hashes.view(np.int64)), pa.array(other.astype(np.int64))], ["key", "context", "n", "start", "hash", "check"])
+
+    every = classes.mapInArrow(windows, "key long, context long, n long, start long, hash long, check long")
+    twice = every.groupBy("key", "hash", "check").agg(F.sum("n").alias("times")).where("times > 1")
+    found = every.join(twice, ["key", "hash", "check"])
+    return found.groupBy("key", "context").agg(F.collect_list("start").alias("starts")).select("key", "context", "starts", F.transform("starts", lambda x: x + size).alias("stops"))
+
+
+def covered(docs: DataFrame, size: int = SIZE, gram: int = GRAM, block: int = BLOCK, hot: int = HOT) -> DataFrame:
     """(rid, spans array<struct<a, b>>) of docs(rid, text): byte runs, not yet merged, that recurring strings cover."""
     contexts = _contexts(docs, size, gram)
     classes = contexts.groupBy("key", "context").agg(F.count("*").alias("n"), F.max("bytes").alias("bytes"))
@@ -213,21 +236,28 @@ def covered(docs: DataFrame, size: int = SIZE, gram: int = GRAM, block: int = BL
             yield compare(held)
 
     n = shuffle_partitions(docs.sparkSession)
+    held = contexts.groupBy("key", "context").agg(F.max("length").alias("length")).groupBy("key").agg(F.sum("length").alias("total"))
+    heavy = materialize(held.where(F.col("total") > hot).select("key"), "bwt-hot")
+    several = heavy.count()  # each stands for more than ``hot`` bytes of the corpus
+    if several:
+        apart = _hot_runs(classes.join(heavy, "key"), size)
+        classes = classes.join(heavy, "key", "left_anti")
     ordered = classes.repartition(n, "key").sortWithinPartitions("key", "context")
-    runs = materialize(ordered.mapInArrow(blocks, "key long, context long, starts array<long>, stops array<long>"), "bwt-runs")
+    runs = ordered.mapInArrow(blocks, "key long, context long, starts array<long>, stops array<long>")
+    runs = materialize(runs.union(apart) if several else runs, "bwt-runs")
     release(docs.sparkSession)
     joined = contexts.select("key", "context", "rid", "at").join(runs, ["key", "context"])
     pairs = F.expr("transform(arrays_zip(starts, stops), x -> struct(x.starts + at as a, x.stops + at as b))")
     out = materialize(joined.select("rid", pairs.alias("spans")).groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans")), "bwt-spans")
-    discard(contexts, runs)
+    discard(contexts, runs, heavy)
     release(docs.sparkSession)
     return out
 
 
-def dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM, keep_bytes: bool = False, block: int = BLOCK) -> DataFrame:
+def dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM, keep_bytes: bool = False, block: int = BLOCK, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary or kept_sha256 string) for each row of docs(doc_id, text)."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
-    found = covered(rows.select("rid", "text"), size, gram, block)
+    found = covered(rows.select("rid", "text"), size, gram, block, hot)
     last, kind = ("kept", "binary") if keep_bytes else ("kept_sha256", "string")
 
     def clean(batches: Iterator[pa.RecordBatch]):
