@@ -431,7 +431,8 @@ def test_byte_strings(spark, hard, empty, documents):
     rng = random.Random(8)
     rows = [(i, "".join(rng.choice("ab") for _ in range(rng.randrange(80)))) for i in range(50)] + [(100 + i, "a" * 60) for i in range(3)]
     small = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(map(tuple, dedup(small, 10, 4, block=300).select(*cols).collect()), key=str) == brute_bytes(rows, 10)
+    for hot in (1 << 20, 100, 0):
+        assert sorted(map(tuple, dedup(small, 10, 4, block=300, hot=hot).select(*cols).collect()), key=str) == brute_bytes(rows, 10)
 
 
 def test_transform_intervals():
