@@ -146,8 +146,11 @@ def _contexts(docs: DataFrame, size: int, gram: int) -> DataFrame:
     def anchors(batches: Iterator[pa.RecordBatch]):
         for batch in text_batches(batches):
             a = _Anchors(batch, size, gram)
-            place = (a.at - a.offsets[a.text]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(a.key.view(np.int64)), batch.column("rid").take(pa.array(a.text)), pa.array(place)], ["key", "rid", "place"])
+            order = np.lexsort((a.key, a.text))  # one row for each text and anchor
+            key, text, place = a.key[order], a.text[order], (a.at - a.offsets[a.text])[order]
+            begin = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (text[1:] != text[:-1])])) if len(key) else np.zeros(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(key)).astype(np.int32)), pa.array(place.astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(key[begin].view(np.int64)), batch.column("rid").take(pa.array(text[begin])), lists], ["key", "rid", "place"])
 
     def contexts(batches: Iterator[pa.RecordBatch]):
         for batch in text_batches(batches):
@@ -167,10 +170,12 @@ def _contexts(docs: DataFrame, size: int, gram: int) -> DataFrame:
                 ["key", "context", "rid", "at", "length", "bytes"],
             )
 
-    found = docs.select("rid", "text").mapInArrow(anchors, "key long, rid long, place long")
-    # an anchor recurs if it has two occurrences, be it in one document
-    twice = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    places = materialize(found.join(twice, "key").groupBy("rid").agg(F.collect_list("place").alias("places")), "bwt-places")
+    found = materialize(docs.select("rid", "text").mapInArrow(anchors, "key long, rid long, place array<long>"), "bwt-anchors")
+    # an anchor recurs if it has two occurrences, be it in one document; a table, so that a skewed join can split
+    twice = materialize(found.groupBy("key").agg(F.sum(F.size("place")).alias("n")).where("n > 1").select("key"), "bwt-twice")
+    release(docs.sparkSession)
+    places = materialize(found.join(twice, "key").groupBy("rid").agg(F.flatten(F.collect_list("place")).alias("places")), "bwt-places")
+    discard(found, twice)
     release(docs.sparkSession)
     out = materialize(docs.select("rid", "text").join(places, "rid").mapInArrow(contexts, "key long, context long, rid long, at long, length int, bytes binary"), "bwt-contexts")
     discard(places)
