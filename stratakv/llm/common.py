@@ -68,11 +68,13 @@ def discard(*frames: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files whose frames are gone."""
+    """Let Spark drop shuffle files whose frames are gone, before the next ones are written."""
     import gc
+    import time
 
     gc.collect()
     spark._jvm.System.gc()
+    time.sleep(0.5)  # the cleaner works in the background
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -67,7 +67,7 @@ def _distinct(values: np.ndarray, text: np.ndarray) -> np.ndarray:
 
 
 def removable(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
-    """(id, hash, check, first): windows of a document (by two hashes) that start in one with a smaller id too."""
+    """(id, hash): windows of a document that start in one with a smaller id too; two hashes tell windows apart."""
 
     def anchors(batches: Iterator[pa.RecordBatch]):
         for batch in text_batches(batches):
@@ -92,19 +92,19 @@ def removable(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
     release(docs.sparkSession)
     lists = shared.groupBy("id").agg(F.collect_list("anchor").alias("anchors"))
     candidates = docs.join(lists, "id").mapInArrow(windows, "id long, hash long, check long")
-    found = materialize(recurring(candidates, ["hash", "check"], "id", later=True), "phrase-windows")
+    found = materialize(recurring(candidates, ["hash", "check"], "id", later=True).select("id", "hash"), "phrase-windows")
     discard(shared)
     release(docs.sparkSession)
     return found
 
 
-def compile_automaton(passages: dict[tuple[int, ...], tuple[int, int]]):
-    """Automaton over word numbers; finds a passage's value where it ends."""
+def compile_automaton(passages: dict[tuple[int, ...], set[int]]):
+    """Automaton over word numbers; where a passage ends it gives the passage's length and the texts that lose it."""
     import ahocorasick
 
     automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for passage, value in passages.items():
-        automaton.add_word(passage, value)
+    for passage, texts in passages.items():
+        automaton.add_word(passage, (len(passage), texts))
     automaton.make_automaton()
     return automaton
 
@@ -114,36 +114,25 @@ def _covered(batch: pa.RecordBatch, size: int, gram: int) -> tuple[_Words, np.nd
     w = _Words(batch, size, gram)
     covered = np.zeros(len(w.start), bool)
     lists = batch.column("windows")
-    if lists.null_count == len(lists):
+    if lists.null_count == len(lists) or not len(w.window):
         return w, covered
-    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = lists.flatten()
-    hashes = flat.field("hash").to_numpy().view(np.uint64)
-    firsts = flat.field("first").to_numpy()
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    # the passages' words, taken where their text has them
-    own = _tagged(gram_hash(w.hash, size)[w.window], w.text) if len(w.window) else np.zeros(0, np.uint64)
-    wanted, at = np.unique(_tagged(hashes, owner), return_index=True)
-    place = np.searchsorted(wanted, own)
-    place[place == len(wanted)] = 0
-    here = wanted[place] == own
-    number = np.unique(w.hash, return_inverse=True)[1].tolist()
-    passages: dict[tuple[int, ...], tuple[int, int]] = {}
-    start, text, first_doc = w.window[here], w.text[here], firsts[at[place[here]]]
+    here = among(gram_hash(w.hash, size)[w.window], w.text, lists)
+    start, text = w.window[here], w.text[here]
     if not len(start):
         return w, covered
-    # consecutive windows are one passage, which is of an earlier document where the latest of its firsts is
+    # consecutive windows are one passage
+    number = np.unique(w.hash, return_inverse=True)[1].tolist()
     begin = np.flatnonzero(np.concatenate([[True], (np.diff(start) != 1) | (np.diff(text) != 0)]))
     end = start[np.concatenate([begin[1:], [len(start)]]) - 1] + size
-    for lo, hi, first in zip(start[begin].tolist(), end.tolist(), np.maximum.reduceat(first_doc, begin).tolist(), strict=True):
-        passages[tuple(number[lo:hi])] = (first, hi - lo)
+    passages: dict[tuple[int, ...], set[int]] = {}
+    for lo, hi, i in zip(start[begin].tolist(), end.tolist(), text[begin].tolist(), strict=True):
+        passages.setdefault(tuple(number[lo:hi]), set()).add(i)
     automaton = compile_automaton(passages)
-    ids = batch.column("id").to_pylist()
     mark = np.zeros(len(covered) + 1, np.int32)
-    for i in np.flatnonzero(sizes).tolist():
-        lo, hi, me = int(w.first[i]), int(w.first[i + 1]), ids[i]
-        for stop, (first, length) in automaton.iter(tuple(number[lo:hi])):
-            if first < me:
+    for i in np.unique(text).tolist():
+        lo, hi = int(w.first[i]), int(w.first[i + 1])
+        for stop, (length, texts) in automaton.iter(tuple(number[lo:hi])):
+            if i in texts:
                 mark[lo + stop + 1 - length] += 1
                 mark[lo + stop + 1] -= 1
     return w, np.cumsum(mark[:-1]) > 0
@@ -158,7 +147,7 @@ def dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM, keep_text: bool =
     extra = [c for c in docs.columns if c not in ("doc_id", "text")] if keep_text else []
     rows = docs.select("doc_id", "text", *extra).withColumn("id", F.coalesce("doc_id", F.lit(_LAST)))
     found = removable(rows.select("id", "text"), size, gram)
-    lists = found.groupBy("id").agg(F.collect_list(F.struct("hash", "first")).alias("windows"))
+    lists = found.groupBy("id").agg(F.collect_list("hash").alias("windows"))
     last = "kept" if keep_text else "kept_sha256"
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select("doc_id", *extra).schema)
 
