@@ -67,18 +67,17 @@ def merge_symbols(symbols: list[int], merges: dict[tuple[int, int], tuple[int, i
     return [x for x in alive if x >= 0]
 
 
-_MARKS_AFTER_WORD = re.compile(rb"(?<=[a-z0-9])([.,]+)(?=[ \t-\r]|\Z)")
+#: A full stop or comma between an ASCII letter or digit and a blank or line end; written so that the marks are sought first.
+_MARK_AFTER_WORD = re.compile(rb"[.,](?=[ \n])(?<=[a-z0-9][.,])")
 
 
 def split_chunks(data: bytes) -> list[bytes]:
-    """Pieces of a text that tokenize alone as they do together, as few different ones as is safe.
+    """Pieces of a text that tokenize alone as they do together, as few different ones as is cheap.
 
-    The file lowers case and cuts words from marks anyway, so ASCII letters are lowered and full stops and
-    commas between an ASCII letter or digit and white space come off, unless the text may hold added tokens.
+    White space parts words anyway, and the file lowers case and parts words from marks, so ASCII letters are
+    lowered here and a single mark after a word comes off, unless the text may hold added tokens.
     """
-    if b"<|" not in data:
-        data = _MARKS_AFTER_WORD.sub(rb" \1", data.lower())
-    return data.split()
+    return data.split() if b"<|" in data else _MARK_AFTER_WORD.sub(rb" \g<0>", data.lower()).split()
 
 
 class _Chunks(dict):
@@ -169,7 +168,7 @@ class Encoder:
     def encode_decode(self, data: bytes) -> tuple[str, str]:
         """(ids in decimal, joined by one space; the text decoded from them)."""
         chunks = self.chunks
-        found = [chunks[c] for c in split_chunks(data)]
+        found = list(map(chunks.__getitem__, split_chunks(data)))
         return " ".join([x[0] for x in found if x[0]]), " ".join([x[1] for x in found if x[0]])
 
 

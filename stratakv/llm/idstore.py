@@ -20,8 +20,10 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +49,13 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+def _serialize(kind: str, ids: list[int]) -> bytes:
+    out = array(kind, ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class LibraryEncoder:
     """Chunk by chunk through the tokenizers library; ids as serialized bytes.  Chunks that two generations didn't hold go."""
 
@@ -64,19 +73,19 @@ class LibraryEncoder:
         if len(self.kept) > KEEP:
             self.older, self.kept = self.kept, {}
         kept, older, unseen = self.kept, self.older, []
-        for c in {c for cs in chunks for c in cs}.difference(kept):
+        for c in set().union(*chunks).difference(kept):
             found = older.get(c)
             if found is None:
                 unseen.append(c)
             else:
                 kept[c] = found
-        kind = f"<u{self.width}"
+        kind = "H" if self.width == 2 else "I"
         for k in range(0, len(unseen), 20_000):
             part = unseen[k : k + 20_000]
             found = self.tokenizer.encode_batch_fast([c.decode("utf-8") for c in part], add_special_tokens=False)
             for c, e in zip(part, found, strict=True):
-                kept[c] = np.array(e.ids, kind).tobytes()
-        out = [b"".join([kept[c] for c in cs]) for cs in chunks]
+                kept[c] = _serialize(kind, e.ids)
+        out = [b"".join(map(kept.__getitem__, cs)) for cs in chunks]
         for c in unseen:
             if len(c) > 64:
                 del kept[c]
