@@ -5,9 +5,11 @@ different word before it, a word once for each different word before it, so copi
 Counts are discounted absolutely.  A class's pairs after a word are smoothed by the discounted pairs of both
 classes together, and both give the same share of that word's mass, the jointly discounted one, to their own
 word distributions; the mass discounted there goes to a backoff that both share, the words' continuations over
-all documents of the corpus.  Rare expressions so get nearly equal likelihoods.  An expression is a run of EXPRESSION words, each judged after
-the word before it; its evidence is the difference of the two log-likelihoods over its length, and a
-document's is the greatest among its expressions.  A logistic curve fitted on out-of-fold evidence turns it into a score.
+all documents of the corpus.  Rare expressions so get nearly equal likelihoods.
+
+An expression is a run of EXPRESSION words, each judged after the word before it; its evidence is the difference
+of the two log-likelihoods over its length, and a document's is the greatest among its expressions.  A logistic
+curve fitted on out-of-fold evidence turns it into a score.
 
 Words are runs of bytes between white space and ASCII punctuation, A-Z lowered.  The class counts come from a
 bounded sample (SAMPLE labelled documents of each class, by a hash of doc_id) and the VOCABULARY most frequent
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import text_batches, text_buffer
 from .hashing import mix, prefix_hash, run_starts, span_hash, words
 
-SAMPLE, VOCABULARY, EXPRESSION = 5000, 200_000, 1
+SAMPLE, VOCABULARY, EXPRESSION = 3000, 200_000, 1
 THRESHOLD = 0.7
 #: Discount of word continuations: one for every so many documents of the smaller class, within these bounds;
 #: pairs have half of it.
@@ -144,8 +146,22 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.
     return float(theta[0]), float(theta[1])
 
 
-def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+def _parts(texts: list[bytes], limit: int = 2 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Texts as (bytes, offsets), about ``limit`` bytes at a time: what is made of them stays small."""
+    part: list[bytes] = []
+    size = 0
+    for k, t in enumerate(texts):
+        part.append(t)
+        size += len(t)
+        if size >= limit or k == len(texts) - 1:
+            yield np.frombuffer(b"".join(part), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in part])]).astype(np.int64)
+            part, size = [], 0
+
+
+def _all_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    found = [tokens(*part) for part in _parts(texts)]
+    sizes = np.concatenate([np.diff(f[3]) for f in found])
+    return (*(np.concatenate([f[k] for f in found]) for k in range(3)), np.concatenate([[0], np.cumsum(sizes)]))
 
 
 def shared_counts(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
@@ -184,16 +200,16 @@ def train(docs: DataFrame, labels: DataFrame, seed: str = "toxicity") -> Model |
     order = np.lexsort((rows.column("doc_id").to_numpy(),))
     toxic = rows.column("toxic").to_numpy()[order].astype(bool)
     texts = [rows.column("text")[int(i)].as_py() for i in order]
+    del rows
     if not toxic.any() or toxic.all():
         return float(toxic.any())
-    data, offsets = _joined(texts)
-    h, one, two, first = tokens(data, offsets)
-    known, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
+    h, one, two, first = _all_tokens(texts)
+    known, count = np.unique(h, return_counts=True)
     floor = 3 if len(known) > 10_000 else 1
     if (count >= floor).sum() > VOCABULARY:
         floor = int(np.partition(count, len(count) - VOCABULARY)[len(count) - VOCABULARY]) + 1
     vocabulary = known[count >= floor]
-    del known, inverse, count
+    del known, count
     shared = shared_counts(docs, vocabulary)
     owner = np.repeat(np.arange(len(texts)), np.diff(first))
 
@@ -209,7 +225,8 @@ def train(docs: DataFrame, labels: DataFrame, seed: str = "toxicity") -> Model |
     for part in (half, ~half):
         if (toxic & part).any() and (~toxic & part).any():
             held = np.flatnonzero(~part)
-            evidence[held] = fit(part).evidence(*_joined([texts[i] for i in held]))
+            half_model = fit(part)
+            evidence[held] = np.concatenate([half_model.evidence(*p) for p in _parts([texts[i] for i in held])])
     model = fit(np.ones(len(texts), bool))
     weight = np.where(toxic, sizes[1] / toxic.sum(), sizes[0] / (~toxic).sum())
     model.curve = logistic(evidence, toxic.astype(float), weight)
