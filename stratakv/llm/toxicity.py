@@ -36,10 +36,10 @@ from .hashing import mix, prefix_hash, run_starts, span_hash, words
 SAMPLE, VOCABULARY, EXPRESSION = 3000, 200_000, 1
 THRESHOLD = 0.7
 #: Discount of word continuations: one for every so many documents of the smaller class, within these bounds;
-#: pairs have half of it.
+#: pairs have twice as much, so that phrases which documents share by chance back off to their words.
 DOCS_PER_DISCOUNT, LEAST_DISCOUNT, MOST_DISCOUNT = 25, 0.75, 12.0
-#: Weight of the joint pairs in a class's own.
-JOINT = 20.0
+#: Share of the joint pairs in a class's own.
+JOINT = 0.2
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[[c for c in range(33, 127) if not chr(c).isalnum()]] = 32
@@ -84,7 +84,7 @@ class Model:
         self.vocabulary, self.curve = vocabulary, (0.0, 0.0)
         n = len(vocabulary) + 1
         d1 = min(max(docs / DOCS_PER_DISCOUNT, LEAST_DISCOUNT), MOST_DISCOUNT)
-        d2 = max(d1 / 2, LEAST_DISCOUNT)
+        d2 = 2 * d1
         backoff = (shared + 1) / (shared + 1).sum()
         pairs = np.unique(np.concatenate([c.pair for c in classes]))
         counts = np.zeros((2, len(pairs)))
@@ -100,7 +100,9 @@ class Model:
         self.direct, self.words = [], []
         for k, c in enumerate(classes):
             own = np.maximum(counts[k] - d2, 0)[keep]
-            share = (own + JOINT * np.maximum(joint - d2, 0)[keep] / mass[before]) / (np.bincount(before, own, n)[before] + JOINT)
+            whole = np.bincount(before, own, n)[before]
+            common = np.maximum(joint - d2, 0)[keep] / mass[before]
+            share = np.where(whole > 0, (1 - JOINT) * own / np.maximum(whole, 1e-9) + JOINT * common, common)
             self.direct.append((1 - self.rest[before]) * share)
             off = np.minimum(c.word, d1)
             total = max(c.word.sum(), 1)
