@@ -142,14 +142,17 @@ def dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM, keep_text: bool =
     """(doc_id, n_words, n_removed, kept) for each row of docs(doc_id, text), or kept_sha256 instead of kept.
 
     keep_text: kept is the text itself where nothing was removed, else the remaining words joined by one space,
-    and the other columns of docs are returned too.  Without it, the digest is that of the joined words.
+    and the other columns of docs are returned too (but for those named as results).  Without it, the digest is
+    that of the joined words.
     """
-    extra = [c for c in docs.columns if c not in ("doc_id", "text")] if keep_text else []
-    rows = docs.select("doc_id", "text", *extra).withColumn("id", F.coalesce("doc_id", F.lit(_LAST)))
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_words", "n_removed", "kept")] if keep_text else []
+    extra = [f"extra_{k}" for k in range(len(others))]  # no name of theirs meets one of ours
+    rows = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(x) for c, x in zip(others, extra, strict=True)])
+    rows = rows.withColumn("id", F.coalesce("doc_id", F.lit(_LAST)))
     found = removable(rows.select("id", "text"), size, gram)
     lists = found.groupBy("id").agg(F.collect_list("hash").alias("windows"))
     last = "kept" if keep_text else "kept_sha256"
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select("doc_id", *extra).schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select("doc_id", *extra).schema)
 
     def clean(batches: Iterator[pa.RecordBatch]):
         for batch in text_batches(batches):
@@ -167,4 +170,5 @@ def dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM, keep_text: bool =
             values = pa.array([t.decode("utf-8") for t in texts], pa.string()) if keep_text else pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[batch.column(c) for c in extra], pa.array(n), pa.array(n - np.diff(edges)), values], ["doc_id", *extra, "n_words", "n_removed", last])
 
-    return rows.join(lists, "id", "left").mapInArrow(clean, f"{schema}, n_words long, n_removed long, {last} string")
+    out = rows.join(lists, "id", "left").mapInArrow(clean, f"{schema}, n_words long, n_removed long, {last} string")
+    return out.withColumnsRenamed(dict(zip(extra, others, strict=True)))
