@@ -398,6 +398,8 @@ def test_phrases(spark, hard, empty, documents):
     for df in (hard, documents):
         assert sorted(map(tuple, dedup(df).select(*cols).collect()), key=str) == brute_phrases(texts(df), 13)
     assert dedup(empty).count() == 0
+    whole = dedup(hard, keep_text=True)
+    assert set(whole.columns) == {*hard.columns, "n_words", "n_removed", "kept"} - {"text"} and whole.where("windows <> 'clash'").count() == 0
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choice(["a", "b", "cc"]) for _ in range(rng.randrange(40)))) for i in range(80)] + [(200 + i, "a " * 30) for i in range(5)]
     small = spark.createDataFrame(rows, "doc_id long, text string")
