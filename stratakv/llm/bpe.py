@@ -23,7 +23,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import text_batches, text_buffer
+from .common import held, text_batches, text_buffer
 
 KEEP = 300_000
 LONGEST_KEPT = 48
@@ -172,13 +172,8 @@ class Encoder:
         return " ".join([x[0] for x in found if x[0]]), " ".join([x[1] for x in found if x[0]])
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return held(("bpe", path), lambda: Encoder(path))
 
 
 def _texts(batches: Iterator[pa.RecordBatch]):

@@ -18,8 +18,38 @@ _scratch: list[tuple[SparkSession, str]] = []
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch: texts are long, so batches of Spark's default length would fill a worker's memory.
+BATCH_ROWS = 1000
+_held: dict = {}
+
+
+def held(key, build):
+    """The one large object (a model, a store of ids) that a worker keeps between tasks; another key drops the last."""
+    if key not in _held:
+        drop_held()
+        _held[key] = build()
+    return _held[key]
+
+
+def drop_held() -> None:
+    """Give back the memory of what an earlier operator kept in this worker."""
+    if _held:
+        import ctypes
+        import gc
+
+        _held.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library keeps its freed pages
+            pass
+
+
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package, however the driver found it."""
+    """Let Python workers import this package, however the driver found it, and keep their batches small."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(rows, "10000")) > BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     env = spark.sparkContext.environment
     path = env.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")
     if _ROOT not in path.split(os.pathsep):

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import split_chunks
-from .common import scratch_path, text_batches, text_buffer
+from .common import held, scratch_path, text_batches, text_buffer
 
 MAGIC = b"STRATAID"
 #: Bounds of the sample that trains the dictionary, and its size.
@@ -92,13 +92,8 @@ class LibraryEncoder:
         return out
 
 
-_encoders: dict[str, LibraryEncoder] = {}
-
-
 def library_encoder(path: str) -> LibraryEncoder:
-    if path not in _encoders:
-        _encoders[path] = LibraryEncoder(path)
-    return _encoders[path]
+    return held(("ids", path), lambda: LibraryEncoder(path))
 
 
 def _serialized(batches: Iterator[pa.RecordBatch], path: str, end_id: int):

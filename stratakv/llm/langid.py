@@ -23,13 +23,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches, text_buffer
+from .common import held, text_batches, text_buffer
 from .hashing import prefix_hash, span_hash
 
 SAMPLE_DOCS, WORDS, ROUNDS, LONGEST = 600, 20_000, 2, 16
 #: Most languages that one model holds.
 LANGUAGES = 1000
-KEEP = 400_000
+KEEP = 300_000
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 _MARK = "▁".encode()
@@ -244,9 +244,6 @@ class _Scorer:
         return out
 
 
-_scorers: dict[str, _Scorer] = {}
-
-
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, kept columns, lang_pred, score) of docs(doc_id, text)."""
     import uuid
@@ -257,10 +254,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFr
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text" or "text" in keep)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = _Scorer(Model(*sent.value))
-        scorer, languages = _scorers[key], [*sent.value[0], UNKNOWN]
+        scorer, languages = held(key, lambda: _Scorer(Model(*sent.value))), [*sent.value[0], UNKNOWN]
         for batch in text_batches(batches):
             data, offsets = text_buffer(batch.column("text"))
             raw = data.tobytes()

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, release, text_batches, text_buffer
+from .common import discard, drop_held, materialize, release, text_batches, text_buffer
 from .hashing import gram_hash, mix, prefix_hash, run_starts, spaced, span_hash, window_min, words
 from .runs import recurring
 
@@ -70,6 +70,7 @@ def removable(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
     """(id, hash): windows of a document that start in one with a smaller id too; two hashes tell windows apart."""
 
     def anchors(batches: Iterator[pa.RecordBatch]):
+        drop_held()
         for batch in text_batches(batches):
             w = _Words(batch, size, gram)
             at = _distinct(w.anchor, w.text)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, text_batches, text_buffer
+from .common import discard, drop_held, materialize, text_batches, text_buffer
 from .components import components
 from .hashing import run_starts, spaced, words
 
@@ -247,6 +247,7 @@ def fingerprint_table(docs: DataFrame, size: int = WORDS) -> DataFrame:
     """(doc_id, fp): fp holds the 64 bits as a signed long."""
 
     def run(batches):
+        drop_held()
         for ids, prints in fingerprints(batches, size):
             yield pa.RecordBatch.from_arrays([ids, pa.array(prints.view(np.int64))], ["doc_id", "fp"])
 

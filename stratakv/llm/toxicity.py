@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches, text_buffer
+from .common import held, text_batches, text_buffer
 from .hashing import mix, prefix_hash, run_starts, span_hash, words
 
 SAMPLE, VOCABULARY, EXPRESSION = 3000, 200_000, 1
@@ -235,18 +235,12 @@ def train(docs: DataFrame, labels: DataFrame, seed: str = "toxicity") -> Model |
     return model
 
 
-_models: dict[str, Model] = {}
-
-
 def score(docs: DataFrame, model: Model | float, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, score, predicted) of docs(doc_id, text)."""
     sent, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]):
-        if key not in _models:
-            _models.clear()
-            _models[key] = sent.value
-        own = _models[key]
+        own = held(key, lambda: sent.value)
         for batch in text_batches(batches):
             n = batch.num_rows
             found = np.full(n, own) if isinstance(own, float) else own.score(own.evidence(*text_buffer(batch.column("text"))))
