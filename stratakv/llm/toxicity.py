@@ -8,8 +8,10 @@ word distributions; the mass discounted there goes to a backoff that both share,
 all documents of the corpus.  Rare expressions so get nearly equal likelihoods.
 
 An expression is a run of EXPRESSION words, each judged after the word before it; its evidence is the difference
-of the two log-likelihoods over its length, and a document's is the greatest among its expressions.  A logistic
-curve fitted on out-of-fold evidence turns it into a score.
+of the two log-likelihoods over its length, and a document's is the greatest among its expressions (a shorter
+text is one expression).  A logistic curve fitted on out-of-fold evidence turns it into a score.  The discounts
+are not Kneser and Ney's, which are below 1: they rise with the labelled documents, so that words and pairs that
+occur in few of them say nothing of the class.
 
 Words are runs of bytes between white space and ASCII punctuation, A-Z lowered.  The class counts come from a
 bounded sample (SAMPLE labelled documents of each class, by a hash of doc_id) and the VOCABULARY most frequent
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import held, text_batches, text_buffer
 from .hashing import mix, prefix_hash, run_starts, span_hash, words
 
-SAMPLE, VOCABULARY, EXPRESSION = 3000, 200_000, 1
+SAMPLE, VOCABULARY, EXPRESSION = 3000, 200_000, 3
 THRESHOLD = 0.7
 #: Discount of word continuations: one for every so many documents of the smaller class, within these bounds;
 #: pairs have twice as much, so that phrases which documents share by chance back off to their words.

@@ -336,6 +336,33 @@ def test_toxicity(spark, hard, empty):
     assert {r.score for r in score(hard, nothing).collect()} == {0.0}
 
 
+def test_toxicity_judges_expressions_of_several_words():
+    from stratakv.llm import toxicity as T
+
+    def model_of(texts):
+        return T.tokens(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+
+    rng = random.Random(1)
+    ordinary = [" ".join(rng.choice("abcdefgh") for _ in range(30)).encode() for _ in range(40)]
+    toxic = [t + b" x y z" for t in ordinary]
+    sides = [model_of(toxic), model_of(ordinary)]
+    vocabulary = np.unique(sides[0][0])
+    model = T.Model(vocabulary, [T.Counts(vocabulary, *s[:3]) for s in sides], np.ones(len(vocabulary) + 1), 40)
+    text = b"a b x c d y z e f"
+    gains = []
+    for k in range(1, 10):  # a word's own evidence: what it adds to the sum over the text so far
+        part = b" ".join(text.split()[:k])
+        n = T.EXPRESSION
+        T.EXPRESSION = 1 << 20
+        try:
+            gains.append(model.evidence(np.frombuffer(part, np.uint8), np.array([0, len(part)]))[0] * k)
+        finally:
+            T.EXPRESSION = n
+    steps = np.diff([0, *gains])
+    got = model.evidence(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]
+    assert np.isclose(got, max(steps[k : k + 3].mean() for k in range(7))) and got < steps.max()
+
+
 def test_language(spark, hard, empty, documents):
     from stratakv.llm import langid
 
