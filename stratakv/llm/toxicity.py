@@ -14,8 +14,8 @@ are not Kneser and Ney's, which are below 1: they rise with the labelled documen
 occur in few of them say nothing of the class.
 
 Words are runs of bytes between white space and ASCII punctuation, A-Z lowered.  The class counts come from a
-bounded sample (SAMPLE labelled documents of each class, by a hash of doc_id) and the VOCABULARY most frequent
-of its words that occur three times; the shared counts cover every document.
+bounded sample (SAMPLE labelled documents of each class, by a hash of doc_id) and all of its words; the shared
+counts are of the distinct pairs of words of all documents, for every word of the corpus.
 
 Defined results: null and empty texts have evidence 0; without a training row of each class every score is the
 share of toxic training rows (0 without any); rows with equal doc_ids share a label (the largest); null labels
@@ -32,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, text_batches, text_buffer
+from .common import discard, held, materialize, shuffle_partitions, text_batches, text_buffer
 from .hashing import mix, prefix_hash, run_starts, span_hash, words
 
-SAMPLE, VOCABULARY, EXPRESSION = 3000, 200_000, 3
+SAMPLE, EXPRESSION = 3000, 3
 THRESHOLD = 0.7
+#: Pairs of words that a task holds before it sends them on, and buckets over which a word's pairs are spread.
+PAIRS, SPREAD = 2 << 20, 8
 #: Discount of word continuations: one for every so many documents of the smaller class, within these bounds;
 #: pairs have twice as much, so that phrases which documents share by chance back off to their words.
 DOCS_PER_DISCOUNT, LEAST_DISCOUNT, MOST_DISCOUNT = 25, 0.75, 12.0
@@ -82,12 +84,12 @@ def numbers(vocabulary: np.ndarray, h: np.ndarray) -> np.ndarray:
 class Model:
     """Two classes' smoothed distributions as arrays, and the curve from evidence to score."""
 
-    def __init__(self, vocabulary: np.ndarray, classes: list[Counts], shared: np.ndarray, docs: int):
+    def __init__(self, vocabulary: np.ndarray, classes: list[Counts], shared: np.ndarray, docs: int, mass: float | None = None):
         self.vocabulary, self.curve = vocabulary, (0.0, 0.0)
         n = len(vocabulary) + 1
         d1 = min(max(docs / DOCS_PER_DISCOUNT, LEAST_DISCOUNT), MOST_DISCOUNT)
         d2 = 2 * d1
-        backoff = (shared + 1) / (shared + 1).sum()
+        backoff = (shared + 1) / (mass or (shared + 1).sum())
         pairs = np.unique(np.concatenate([c.pair for c in classes]))
         counts = np.zeros((2, len(pairs)))
         for k, c in enumerate(classes):
@@ -168,27 +170,95 @@ def _all_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return (*(np.concatenate([f[k] for f in found]) for k in range(3)), np.concatenate([[0], np.cumsum(sizes)]))
 
 
-def shared_counts(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
-    """Continuations of the vocabulary's words over all texts: distinct words before it in each block of text, summed."""
-    n = len(vocabulary) + 1
+def _packed(word: np.ndarray, before: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, pairs) of pairs of hashes: words, how many different ones come before each, and 48 bits of each of those.
+
+    A pair's bucket is its word's, or one of the SPREAD - 1 after it by the word before, so that a frequent word is shared.
+    """
+    bucket = ((mix(word) % np.uint64(buckets) + (before >> np.uint64(16)) % np.uint64(SPREAD)) % np.uint64(buckets)).astype(np.int32)
+    order = np.lexsort((word, bucket))
+    word, before, bucket = word[order], before[order], bucket[order]
+    edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        own, n = np.unique(word[lo:hi], return_counts=True)
+        six = np.ascontiguousarray(before[lo:hi].astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:])
+        blob = np.uint32(len(own)).tobytes() + own.astype("<u8").tobytes() + n.astype("<u4").tobytes() + six.tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[lo : lo + 1]), pa.array([blob], pa.binary())], ["bucket", "pairs"])
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    size = int(np.frombuffer(blob, "<u4", 1)[0])
+    own, n = np.frombuffer(blob, "<u8", size, 4), np.frombuffer(blob, "<u4", size, 4 + 8 * size)
+    before = np.zeros((int(n.sum()), 8), np.uint8)
+    before[:, 2:] = np.frombuffer(blob, np.uint8, offset=4 + 12 * size).reshape(-1, 6)
+    return np.repeat(own, n), before.view("<u8").ravel()
+
+
+def _distinct(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    word, before = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    at = np.unique(mix(word + mix(before)), return_index=True)[1]
+    return word[at], before[at]
+
+
+def continuations(docs: DataFrame) -> DataFrame:
+    """(word, n) for every word of all texts, by its hash: how many different words come before it, copies and layout aside."""
+    buckets = shuffle_partitions(docs.sparkSession)
+
+    def gather(batches: Iterator[pa.RecordBatch]):
+        found, size = [], 0
+        for batch in text_batches(batches):
+            h, one, _, _ = tokens(*text_buffer(batch.column("text")))
+            if len(h):
+                found.append(_distinct([(h, mix(one))]))
+                size += len(found[-1][0])
+            if size > PAIRS:
+                found = [_distinct(found)]
+                size = len(found[0][0])
+                if size > PAIRS // 2:
+                    yield from _packed(*found[0], buckets)
+                    found, size = [], 0
+        if found:
+            yield from _packed(*_distinct(found), buckets)
+
+    def count(batches: Iterator[pa.RecordBatch]):
+        found, size, merged = [], 0, 0
+        for batch in batches:
+            for blob in batch.column("pairs"):
+                found.append(_unpacked(blob.as_py()))
+                size += len(found[-1][0])
+                if size > 2 * merged + PAIRS:
+                    found = [_distinct(found)]
+                    size = merged = len(found[0][0])
+        if found:
+            word, n = np.unique(_distinct(found)[0], return_counts=True)
+            for k in range(0, len(word), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(word[k : k + (1 << 16)].view(np.int64)), pa.array(n[k : k + (1 << 16)])], ["word", "n"])
+
+    pairs = docs.select("text").mapInArrow(gather, "bucket int, pairs binary").repartition(buckets, "bucket")
+    return pairs.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def shared_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
+    """(continuations of the vocabulary's words, 0 for any other, and mass of all words of the corpus with one more for each).
+
+    A word that no class has seen has no number of its own: both classes give it the same backoff but for their
+    own weights of it, so that it drops out of their difference.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        total = np.zeros(n, np.int64)
-        for batch in text_batches(batches, limit=8 << 20):
-            h, one, _, _ = tokens(*text_buffer(batch.column("text")))
-            known = numbers(sent.value, h)
-            inside = known < n - 1
-            total[-1] += len(h) - int(inside.sum())
-            h, one, known = h[inside], one[inside], known[inside]
-            total += np.bincount(known[np.unique(h + mix(one), return_index=True)[1]], minlength=n)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["word", "n"])
+        for batch in batches:
+            at = numbers(sent.value, batch.column("word").to_numpy().view(np.uint64))
+            inside = np.flatnonzero(at < len(sent.value))
+            yield pa.RecordBatch.from_arrays([pa.array(at[inside].astype(np.int32)), batch.column("n").take(pa.array(inside))], ["at", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(n)
-    out[rows.column("word").to_numpy()] = rows.column("n").to_numpy()
-    return out
+    counts = materialize(continuations(docs), "toxicity-words")
+    words_, pairs = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    rows = counts.mapInArrow(run, "at int, n long").toArrow()
+    discard(counts)
+    out = np.zeros(len(vocabulary) + 1)
+    out[rows.column("at").to_numpy()] = rows.column("n").to_numpy()
+    return out, words_ + pairs + 1
 
 
 def train(docs: DataFrame, labels: DataFrame, seed: str = "toxicity") -> Model | float:
@@ -208,13 +278,8 @@ def train(docs: DataFrame, labels: DataFrame, seed: str = "toxicity") -> Model |
     if not toxic.any() or toxic.all():
         return float(toxic.any())
     h, one, two, first = _all_tokens(texts)
-    known, count = np.unique(h, return_counts=True)
-    floor = 3 if len(known) > 10_000 else 1
-    if (count >= floor).sum() > VOCABULARY:
-        floor = int(np.partition(count, len(count) - VOCABULARY)[len(count) - VOCABULARY]) + 1
-    vocabulary = known[count >= floor]
-    del known, count
-    shared = shared_counts(docs, vocabulary)
+    vocabulary = np.unique(h)
+    shared, mass = shared_counts(docs, vocabulary)
     owner = np.repeat(np.arange(len(texts)), np.diff(first))
 
     def fit(part: np.ndarray) -> Model:
@@ -222,7 +287,7 @@ def train(docs: DataFrame, labels: DataFrame, seed: str = "toxicity") -> Model |
         for c in (True, False):
             pick = (part & (toxic == c))[owner]
             classes.append(Counts(vocabulary, h[pick], one[pick], two[pick]))
-        return Model(vocabulary, classes, shared, int(toxic.sum()))
+        return Model(vocabulary, classes, shared, int(toxic.sum()), mass)
 
     half = np.arange(len(texts)) % 2 == 0
     evidence = np.zeros(len(texts))

@@ -363,6 +363,24 @@ def test_toxicity_judges_expressions_of_several_words():
     assert np.isclose(got, max(steps[k : k + 3].mean() for k in range(7))) and got < steps.max()
 
 
+def test_shared_counts_are_of_distinct_pairs_of_the_whole_corpus(spark):
+    from stratakv.llm import toxicity as T
+
+    some = ["a b c", "A b", "b b b c", "c, a", None, "", "unseen b"]
+    docs = spark.createDataFrame([(t,) for t in some * 3], "text string")
+    before = {}
+    for t in some:
+        ws = (t or "").lower().replace(",", " ").split()
+        for v, w in zip([None, *ws], ws):
+            before.setdefault(w, set()).add(v)
+    vocabulary = np.unique(T.tokens(np.frombuffer(b"a b c", np.uint8), np.array([0, 5]))[0])
+    place = {w: int(T.numbers(vocabulary, T.tokens(np.frombuffer(w.encode(), np.uint8), np.array([0, 1]))[0])[0]) for w in "abc"}
+    for slices in (1, 7):
+        counts, mass = T.shared_counts(docs.repartition(slices), vocabulary)
+        assert {w: counts[place[w]] for w in "abc"} == {w: len(before[w]) for w in "abc"} and counts[-1] == 0
+        assert mass == sum(map(len, before.values())) + len(before) + 1
+
+
 def test_language(spark, hard, empty, documents):
     from stratakv.llm import langid
 
