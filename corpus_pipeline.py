@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 documents.  A stage sees all that the one before it kept, and its decisions take effect on the rows:
 
 1. language   drops documents whose language the model cannot tell (no letter, or no text);
-2. simhash    keeps the document of least doc_id of each group of near-duplicates (one row, if doc_ids repeat);
+2. simhash    keeps one row of each group of near-duplicates: that of least doc_id (null is the largest), then text,
+              lang, source and n_chars;
 3. phrases    removes words of 13-word passages that start in a document with a smaller doc_id as well; documents
               without such a passage keep their text as it is, those with nothing left go; n_chars is counted anew;
 4. mixture    repeats each document as often as its source's budget asks, cut to its first words where the budget
@@ -39,14 +40,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     docs = docs.select(*COLUMNS)
-    groups = simhash.near_duplicates(docs)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("times"))
-    kept = materialize(kept.withColumnRenamed("doc_id", "kept_id"), "pipeline-kept")
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")))
-    if kept.where("times > 1").limit(1).count():
-        once = out.where("times > 1").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("x")).select("doc_id", "x.*")
-        return out.where("times = 1").select(*COLUMNS).union(once.select(*COLUMNS))
-    return out.select(*COLUMNS)
+    return simhash.representatives(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,9 +51,10 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    docs = docs.select(*COLUMNS)
-    plan = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("mix_id"), "size", "taken")
-    rows = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("mix_id")))
+    docs = docs.select(*COLUMNS).withColumn("digest", F.xxhash64("text", "lang", "n_chars")).withColumn("row", F.monotonically_increasing_id())
+    docs = materialize(docs, "pipeline-rows")  # doc_ids need not tell rows apart
+    plan = mixing.mix(docs, keep=("digest", "row")).where("taken > 0").select("row", "size", "taken")
+    rows = docs.join(plan, "row")
     whole, rest = F.expr("cast(taken div size as int)"), F.expr("cast(taken % size as int)")
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.expr("cast(ceil(taken / size) as int)"))))
     first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), rest), " ")

@@ -54,13 +54,14 @@ def targets(totals: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) ->
     return levels.withColumn("at", first).select("source", "total", F.least("cap", F.coalesce(F.col("at") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = "mix", keep: tuple = ()) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) of docs(doc_id, text, source).
 
     taken counts words, repeats included: size for each whole epoch of the budget, and in the last, partial
-    one all of a document, none of it, or its first words where the budget ends within it.
+    one all of a document, none of it, or its first words where the budget ends within it.  Columns to keep go with
+    their row and order rows of equal doc_id and size.
     """
-    sizes = docs.select("doc_id", "source", word_count("text").alias("size"))
+    sizes = docs.select("doc_id", "source", word_count("text").alias("size"), *keep)
     sizes = sizes.withColumn("key", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")))
     sizes = materialize(sizes, "mix-sizes")  # texts are read once
     n = sizes.count()
@@ -73,7 +74,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: st
     along = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranges.withColumn("before", F.coalesce(F.sum("range_size").over(along), F.lit(0))).drop("range_size")
     starts = starts.join(goals.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", *keep).rowsBetween(Window.unboundedPreceding, -1)
     placed = sizes.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
     starts = starts.select(F.col("source").alias("s"), F.col("bucket").alias("b"), "before", "total", "target")
     placed = placed.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
@@ -81,4 +82,4 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: st
     epochs = F.when(F.col("total") > 0, F.expr("cast(floor(target) as bigint) div total")).otherwise(F.lit(0))
     rest = F.when(F.col("total") > 0, budget % F.col("total")).otherwise(F.lit(0))
     part = F.least(F.col("size"), F.greatest(F.lit(0), rest - F.col("before") - F.col("inside")))
-    return placed.select("doc_id", "source", "size", F.col("total").alias("source_size"), "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
+    return placed.select("doc_id", "source", "size", F.col("total").alias("source_size"), "target", (epochs * F.col("size") + part).cast("long").alias("taken"), *keep)

@@ -254,15 +254,47 @@ def fingerprint_table(docs: DataFrame, size: int = WORDS) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def near_duplicates(docs: DataFrame, size: int = WORDS, budget: int = BUDGET) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of docs(doc_id, text)."""
-    table = materialize(fingerprint_table(docs, size), "simhash")
+def _components(table: DataFrame, budget: int) -> DataFrame:
+    """(fp, least, component) of the distinct fingerprints of table(doc_id, fp); component is a fingerprint, never null."""
     distinct = materialize(table.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     found = components(links(distinct.select("fp"), budget))
-    # component of each fingerprint, then the least doc_id of each component
     named = distinct.join(found, distinct.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     named = materialize(named, "simhash-named")
+    discard(distinct)
+    return named
+
+
+def near_duplicates(docs: DataFrame, size: int = WORDS, budget: int = BUDGET) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row of docs(doc_id, text)."""
+    table = materialize(fingerprint_table(docs, size), "simhash")
+    named = _components(table, budget)
+    # component of each fingerprint, then the least doc_id of each component
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     out = named.join(least, "component").select("fp", "component_id")
-    discard(distinct)
     return table.join(out, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, size: int = WORDS, budget: int = BUDGET) -> DataFrame:
+    """One row of docs(doc_id, text, ...) for each component, whatever the doc_ids: the least by doc_id, null last, then by the rest.
+
+    Rows meet their component by their own fingerprint, never by doc_id; only rows that hold their component's
+    least doc_id are compared further, by a digest and then by the row itself.
+    """
+
+    columns = docs.columns
+
+    def run(batches):
+        drop_held()
+        for batch in batches:
+            prints = np.concatenate([np.zeros(0, np.uint64), *[p for _, p in fingerprints([batch.select(["doc_id", "text"])], size)]])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64))], [*columns, "fp"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    rows = materialize(docs.mapInArrow(run, f"{schema}, fp long"), "simhash-rows")
+    named = _components(rows.select("doc_id", "fp"), budget)
+    least = named.groupBy("component").agg(F.min("least").alias("least"))
+    wanted = named.withColumnRenamed("least", "own").join(least, "component").where(F.col("own").eqNullSafe(F.col("least"))).select(F.col("fp").alias("print"), "component", "least")
+    near = rows.join(wanted, (F.col("fp") == F.col("print")) & F.col("doc_id").eqNullSafe(F.col("least")))
+    order = F.struct(*[F.struct(F.col(c).isNull(), F.col(c)) for c in ("text", *[c for c in columns if c not in ("doc_id", "text")])])
+    kept = near.groupBy("component").agg(F.min(F.struct(order.alias("o"), F.struct(*columns).alias("x"))).alias("m"))
+    return kept.select("m.x.*")

@@ -542,6 +542,31 @@ def test_pipeline_against_brute_force(spark, library):
     assert pipeline.run(spark, SF).count() == len(before)
 
 
+def test_pipeline_tells_rows_apart_without_doc_ids(spark):
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(4)
+    text = lambda n: " ".join(f"{rng.choice('bcdfg')}{rng.randrange(10**6)}" for _ in range(n))
+    rows = [(None, text(40 + k), "en", "abc"[k % 3], k) for k in range(12)] + [(5, text(60 + k), "en", "abc"[k % 3], k) for k in range(6)]
+    twin = (5, text(300), "en", "a", 1)  # one of the repeated doc_id 5 is a near copy of document 2, of which only 2 stays
+    rows += [twin, (2, twin[1] + " ", "en", "a", 2)]
+    docs = spark.createDataFrame(rows, DOC).repartition(3)
+    kept = [tuple(r) for r in pipeline.near_copies(spark, docs, SF).collect()]
+    assert sorted(kept, key=str) == sorted([r for r in rows if r is not twin], key=str)
+
+    from stratakv.llm.mixing import mix
+
+    mixed = [tuple(r) for r in pipeline.mixture(spark, docs, SF).collect()]
+    plan = Counter()
+    for r in mix(docs).collect():
+        plan[r.source] += r.taken
+    got = Counter()
+    for r in mixed:
+        got[r[3]] += len(words(r[1]))
+        assert any(d[0] == r[0] and d[3] == r[3] and words(d[1])[: len(words(r[1]))] == words(r[1]) for d in rows)
+    assert got == plan and len(mixed) < 3 * len(rows) + 3
+
+
 def test_registered_queries():
     import __spark_entry__ as entry
 
