@@ -43,30 +43,48 @@ def probes(keys: DataFrame, slots: int, most: int) -> DataFrame:
     return keys.withColumn("h", fold_words("key")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).select("key", "c", probe_slot(F.col("h"), F.col("c"), slots).alias("slot"))
 
 
-def insert_probing(keys: DataFrame, slots: int, shards: int = 8, most: int = 1024) -> DataFrame:
+def _prime(n: int) -> int:
+    """The least prime from n on."""
+    while n < 2 or any(n % k == 0 for k in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
+
+
+def insert_probing(keys: DataFrame, slots: int | None = None, shards: int = 8, most: int = 1024, per_shard: int = 512) -> DataFrame:
     """(shard, slot, key, c): keys inserted in order of arrival, each at its first free probe.
 
     Every insertion depends on those before it, so the table is sharded by hash and a shard is walked in order.
-    keys(seq, key); a key beyond ``most`` probes is returned with a null slot.
+    keys(seq, key).  Without ``slots`` there are as many shards as hold ``per_shard`` keys each on average, and a
+    shard has one slot more (slot 0 is never used) than the least prime above twice its keys: probes c + c * c then
+    reach more slots than are taken, and every key is placed.  With ``slots``, a key beyond ``most`` probes is
+    returned with a null slot.
     """
     import pandas as pd
 
-    own = max(slots // shards, 3)
+    hashed = keys.groupBy("key").agg(F.min("seq").alias("seq")).withColumn("h", fold_words("key"))
+    fixed = max(slots // shards, 3) if slots else None
+    if fixed:
+        shard = F.col("h") % shards
+    else:
+        n = keys.agg(F.count_distinct("key")).first()[0]
+        shard = F.pmod(F.xxhash64("key"), F.lit(-(-n // per_shard) or 1))
 
     def walk(key, rows):
         taken, out = {}, []
-        for name, h in zip(rows.sort_values("seq")["key"], rows.sort_values("seq")["h"], strict=True):
-            for c in range(most):
+        own = fixed or _prime(2 * len(rows) + 1) + 1
+        limit = most if fixed else own
+        rows = rows.sort_values("seq")
+        for name, h in zip(rows["key"], rows["h"], strict=True):
+            for c in range(limit):
                 slot = ((h + c + c * c) & 0xFFFFFFFF) % (own - 1) + 1
                 if taken.setdefault(slot, name) == name:
                     out.append((key[0], slot, name, c))
                     break
             else:
-                out.append((key[0], None, name, most))
+                out.append((key[0], None, name, limit))
         return pd.DataFrame(out, columns=["shard", "slot", "key", "c"]).astype({"slot": "Int64"})
 
-    hashed = keys.groupBy("key").agg(F.min("seq").alias("seq")).withColumn("h", fold_words("key"))
-    return hashed.withColumn("shard", F.col("h") % shards).groupBy("shard").applyInPandas(walk, "shard long, slot long, key string, c long")
+    return hashed.withColumn("shard", shard).groupBy("shard").applyInPandas(walk, "shard long, slot long, key string, c long")
 
 
 def allocate(writes: DataFrame, units: int = 64) -> DataFrame:

@@ -398,14 +398,14 @@ def hash_probe_slots(spark, sf_dir):
 
 @register()
 def hash_probe_insert(spark, sf_dir):
-    return mapping.insert_probing(adapters.oplog(spark, sf_dir).where("op = 'SET'").select("seq", "key"), 512)
+    return mapping.insert_probing(adapters.oplog(spark, sf_dir).where("op = 'SET'").select("seq", "key"))
 
 
 @register()
 def hash_collision_cdf(spark, sf_dir):
     from pyspark.sql import Window
 
-    placed = mapping.insert_probing(adapters.oplog(spark, sf_dir).where("op = 'SET'").select("seq", "key"), 512)
+    placed = mapping.insert_probing(adapters.oplog(spark, sf_dir).where("op = 'SET'").select("seq", "key"))
     h = placed.groupBy("c").agg(F.count("*").alias("n"))
     whole = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return h.select("c", "n", F.round(F.sum("n").over(Window.orderBy("c")) / F.sum("n").over(whole), 6).alias("share"))

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 from stratakv.functions.hashes import murmur3
 from stratakv.functions.keys import prefix_end
-from stratakv.operators import bloom, cache, lsm, packing, state, textscan
+from stratakv.operators import bloom, cache, lsm, mapping, packing, state, textscan
 from stratakv.sources import traces
 
 
@@ -117,3 +117,33 @@ def test_search_in_a_folder_tree(spark, tmp_path):
     (tmp_path / "y.txt").write_text("an")
     df = textscan.read_tree(spark, str(tmp_path)).withColumnRenamed("file", "doc_id")
     assert sorted(r.n_0 for r in textscan.count(df, ["ana"]).collect()) == [0, 3]
+
+
+def test_probe_insertion_places_every_key(spark):
+    import hashlib
+
+    n = 5000
+    rows = [(i, f"user{(i * 37 % n):012d}") for i in range(2 * n)]
+    got = mapping.insert_probing(spark.createDataFrame(rows, "seq long, key string")).collect()
+    assert len({r.key for r in got}) == len(got) == n and len({(r.shard, r.slot) for r in got}) == n
+    shards = {}
+    for r in got:
+        shards.setdefault(r.shard, {})[r.key] = r
+    assert len(shards) == 10 and max(map(len, shards.values())) < 700
+    first = {}
+    for seq, key in rows:
+        first.setdefault(key, seq)
+    for held in shards.values():
+        size = 2 * len(held) + 1
+        while any(size % k == 0 for k in range(2, size)):
+            size += 1
+        taken = set()
+        for key in sorted(held, key=first.get):
+            h = 0
+            digest = hashlib.sha256(key.encode()).hexdigest()
+            for k in range(8):
+                h ^= int(digest[8 * k : 8 * k + 8], 16)
+            c = next(c for c in range(size) if ((h + c + c * c) & 0xFFFFFFFF) % size + 1 not in taken)
+            slot = ((h + c + c * c) & 0xFFFFFFFF) % size + 1
+            taken.add(slot)
+            assert (held[key].slot, held[key].c) == (slot, c)
