@@ -553,6 +553,100 @@ def bloom_probe(spark, sf_dir):
     return bloom.may_contain(bloom.build(entries, 1 << 14, 7), probes, 1 << 14, 7)
 
 
+# --- lookups over whole tables: every key is searched, and the probes are as many again, some missing ----------
+
+ALL_PARTS = """k AS (SELECT DISTINCT 3 * p_partkey AS key FROM part), s AS (SELECT DISTINCT 2 * p_partkey AS start FROM part),
+ranked AS (SELECT key, row_number() OVER (ORDER BY key) AS p FROM k)"""
+ALL_PROBES = """probes AS (SELECT 'user' || lpad(CAST(i AS VARCHAR), 12, '0') AS key, i AS id FROM (SELECT user_id AS i FROM events UNION SELECT 3 * user_id + 1 FROM events))"""
+ALL_PAGES = "p AS (SELECT l_partkey AS lpa FROM lineitem UNION SELECT 3 * l_partkey + 1 FROM lineitem)"
+ALL_KEYS = "p AS (SELECT o_custkey AS key FROM orders UNION SELECT 3 * o_custkey + 1 FROM orders)"
+
+
+def _with_others(keys, name):
+    """Distinct keys of one column and, for each, one that may not exist."""
+    return keys.select(F.explode(F.array(F.col(name).cast("long"), 3 * F.col(name).cast("long") + 1)).alias(name)).distinct()
+
+
+def _all_parts(spark, sf_dir, name):
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("n")).distinct()
+    return part.select((3 * F.col("n")).alias("key")), part.select((2 * F.col("n")).alias(name))
+
+
+def _all_probes(spark, sf_dir):
+    return _with_others(table(spark, sf_dir, "events").select(F.col("user_id").alias("id")), "id")
+
+
+def _all_keys(spark, sf_dir):
+    return _with_others(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key")), "key")
+
+
+@register(f"""WITH {ALL_PARTS}, f AS (SELECT s.start, r.p FROM s ASOF JOIN ranked r ON s.start <= r.key)
+SELECT f.start, CAST(i + 1 AS INTEGER) AS place, r.key FROM f CROSS JOIN range(0, 10) t(i) JOIN ranked r ON r.p = f.p + i""")
+def kv_range_batch_all(spark, sf_dir):
+    keys, starts = _all_parts(spark, sf_dir, "start")
+    return scans.range_batch(keys, starts, 10, 256)
+
+
+@register(f"""WITH {ALL_PARTS}, a AS (SELECT s.start, r.key FROM s ASOF LEFT JOIN ranked r ON s.start >= r.key), b AS (SELECT s.start, r.key FROM s ASOF LEFT JOIN ranked r ON s.start <= r.key)
+SELECT a.start AS probe, a.key AS floor, b.key AS lower FROM a JOIN b USING (start)""")
+def kv_key_bounds_all(spark, sf_dir):
+    keys, probes = _all_parts(spark, sf_dir, "probe")
+    return scans.bounds(keys, probes, 256)
+
+
+@register(f"WITH {STATE}, {ALL_PROBES} SELECT p.key, s.val, CASE WHEN s.val IS NULL THEN 'NOTFOUND' ELSE 'OK' END AS status FROM probes p LEFT JOIN state s USING (key)")
+def kv_point_get_all(spark, sf_dir):
+    return state.get(visible(spark, sf_dir), _all_probes(spark, sf_dir).select(K.encode_key(F.col("id")).alias("key")))
+
+
+@register(f"WITH {STATE}, {ALL_PROBES} SELECT p.key FROM probes p ANTI JOIN state s USING (key)")
+def kv_get_notfound_all(spark, sf_dir):
+    return kv_point_get_all(spark, sf_dir).where("status = 'NOTFOUND'").select("key")
+
+
+@register(f"WITH {STATE}, {ALL_PROBES} SELECT id // 5 AS req, count(*) AS n_keys, count(val) AS n_found, round(sum(val), 4) AS sum_val FROM probes LEFT JOIN state USING (key) GROUP BY req")
+def kv_multi_get_all(spark, sf_dir):
+    ids = _all_probes(spark, sf_dir).groupBy(F.floor(F.col("id") / 5).alias("req")).agg(F.collect_list(K.encode_key(F.col("id"))).alias("keys"))
+    return state.multi_get(visible(spark, sf_dir), ids)
+
+
+@register(f"""WITH {STATE}, {ALL_PROBES}, f AS (SELECT s.val IS NULL AS miss FROM probes LEFT JOIN state s USING (key))
+SELECT count(*) AS n, round(1 - count(*) FILTER (WHERE miss) / count(*), 6) AS success, round(8192 * count(*) / 1024 / 2.5::DOUBLE * (1 - count(*) FILTER (WHERE miss) / count(*)), 4) AS kb_s, round(count(*) / 2.5::DOUBLE, 4) AS iops FROM f""")
+def throughput_all(spark, sf_dir):
+    return metrics.throughput(kv_point_get_all(spark, sf_dir), 2.5)
+
+
+@register(f"WITH {WRITES}, {ALL_PAGES}, m AS (SELECT lpa, max(ppa) AS ppa FROM writes GROUP BY lpa) SELECT p.lpa, m.ppa, CASE WHEN m.ppa IS NULL THEN 'NOTFOUND' ELSE 'OK' END AS status FROM p LEFT JOIN m USING (lpa)")
+def page_lookup_all(spark, sf_dir):
+    pages = _with_others(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("lpa")), "lpa")
+    return mapping.lookup(mapping.current(adapters.page_writes(spark, sf_dir)), pages)
+
+
+@register(f"WITH {WRITES} SELECT ppa, lpa FROM writes")
+def oob_reverse_all(spark, sf_dir):
+    w = adapters.page_writes(spark, sf_dir)
+    return mapping.reverse(w, w.select("ppa"))
+
+
+@register(f"WITH {LEVELS}, {ALL_KEYS}, n AS (SELECT key, min(level) AS level, arg_min(ppa, level) AS ppa FROM levels GROUP BY key) SELECT p.key, n.level, n.ppa FROM p LEFT JOIN n USING (key)")
+def lsm_point_search_all(spark, sf_dir):
+    return lsm.search(adapters.levels(spark, sf_dir), _all_keys(spark, sf_dir))
+
+
+@register(f"WITH {RUNS}, {ALL_KEYS} SELECT p.key, r.level, r.run FROM p JOIN runs r ON p.key BETWEEN r.first_key AND r.last_key")
+def lsm_run_of_key_all(spark, sf_dir):
+    entries = adapters.levels(spark, sf_dir)
+    return lsm.run_of(lsm.flush_runs(entries), _all_keys(spark, sf_dir), entries, 256)
+
+
+@register()
+def bloom_probe_all(spark, sf_dir):
+    """The filters' bits follow the number of keys: about 10 bits a key, 1 << 14 at least."""
+    entries = adapters.levels(spark, sf_dir).select("level", K.encode_key("key").alias("key"))
+    bits = 1 << max(14, (10 * table(spark, sf_dir, "orders").agg(F.count_distinct("o_custkey")).first()[0]).bit_length())
+    return bloom.may_contain(bloom.build(entries, bits, 7), _all_keys(spark, sf_dir).select(K.encode_key("key").alias("key")), bits, 7)
+
+
 # --- caches and packing -----------------------------------------------------------------------------------------
 
 

@@ -49,3 +49,11 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_bloom_probe_of_all_keys_misses_none(spark):
+    from stratakv.sources import adapters
+
+    found = {(r.key, r.level) for r in QUERIES["bloom_probe_all"](spark, SF).collect()}
+    there = {(f"user{r.key:012d}", r.level) for r in adapters.levels(spark, SF).collect()}
+    assert there <= found and len(found) < 1.1 * len(there) + 10
