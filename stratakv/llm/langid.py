@@ -159,6 +159,18 @@ class Lattice:
         return out
 
 
+def cut(word: bytes, limit: int = 64) -> list[bytes]:
+    """A word in parts of at most ``limit`` bytes that end between characters: scripts without spaces have long ones."""
+    out = []
+    while len(word) > limit:
+        at = limit
+        while at > limit - 4 and word[at] & 0xC0 == 0x80:
+            at -= 1
+        out.append(word[:at])
+        word = word[at:]
+    return [*out, word]
+
+
 def training_words(docs: DataFrame, seed: str = "langid") -> list[tuple[str, bytes, int]]:
     """(lang, word, count) over the bounded sample of docs(doc_id, text, lang); lower-cased words."""
     sizes = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).groupBy("lang").count().limit(LANGUAGES + 1).collect()
@@ -176,11 +188,11 @@ def training_words(docs: DataFrame, seed: str = "langid") -> list[tuple[str, byt
             data, offsets = text_buffer(batch.column("text"))
             raw, seen = data.tobytes(), {}
             for lang, a, b in zip(batch.column("lang").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                seen.setdefault(lang, Counter()).update(raw[a:b].decode("utf-8").lower().encode("utf-8").split())
+                seen.setdefault(lang, Counter()).update(x for w in raw[a:b].decode("utf-8").lower().encode("utf-8").split() for x in cut(w))
             for lang, words in seen.items():
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words)), pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], ["lang", "word", "n"])
 
-    words = chosen.select("lang", "text").mapInArrow(count, "lang string, word binary, n long").where(F.length("word") <= 64)
+    words = chosen.select("lang", "text").mapInArrow(count, "lang string, word binary, n long")
     words = words.groupBy("lang", "word").agg(F.sum("n").alias("n"))
     return [(r.lang, bytes(r.word), r.n) for r in words.collect()]
 

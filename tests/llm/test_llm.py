@@ -396,6 +396,19 @@ def test_language(spark, hard, empty, documents):
     assert {r.lang_pred for r in langid.predict(hard, none).collect()} == {"und"}
 
 
+def test_languages_without_spaces_are_learned(spark):
+    from stratakv.llm import langid
+
+    clause = "今天天气很好我们一起去公园散步吧然后回家吃饭看书睡觉"
+    docs = spark.createDataFrame([(k, clause[k % 5 :] * 3, "zh") for k in range(8)] + [(9 + k, "the fox ran over the hill", "en") for k in range(8)], "doc_id long, text string, lang string")
+    words = {lang: b"".join(w for name, w, _ in langid.training_words(docs) if name == lang) for lang in ("zh", "en")}
+    assert words["zh"].decode() and all(len(w) <= 64 and w.decode() for _, w, _ in langid.training_words(docs))
+    assert b"".join(langid.cut((clause * 9).encode())).decode() == clause * 9
+    model = langid.train(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    assert model.languages == ["en", "zh"]
+    assert {r.lang_pred for r in langid.predict(docs.where("lang = 'zh'"), model).collect()} == {"zh"}
+
+
 def test_segmentations_are_summed():
     from stratakv.llm.langid import Lattice
 
