@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, release, shuffle_partitions, text_batches, text_buffer
+from .common import discard, materialize, shuffle_partitions, text_batches, text_buffer
 from .hashing import prefix_hash, run_starts, span_hash, window_min
 
 SIZE, GRAM = 200, 48
@@ -173,13 +173,10 @@ def _contexts(docs: DataFrame, size: int, gram: int) -> DataFrame:
     found = materialize(docs.select("rid", "text").mapInArrow(anchors, "key long, rid long, place array<long>"), "bwt-anchors")
     # an anchor recurs if it has two occurrences, be it in one document; a table, so that a skewed join can split
     twice = materialize(found.groupBy("key").agg(F.sum(F.size("place")).alias("n")).where("n > 1").select("key"), "bwt-twice")
-    release(docs.sparkSession)
     places = materialize(found.join(twice, "key").groupBy("rid").agg(F.flatten(F.collect_list("place")).alias("places")), "bwt-places")
     discard(found, twice)
-    release(docs.sparkSession)
     out = materialize(docs.select("rid", "text").join(places, "rid").mapInArrow(contexts, "key long, context long, rid long, at long, length int, bytes binary"), "bwt-contexts")
     discard(places)
-    release(docs.sparkSession)
     return out
 
 
@@ -250,12 +247,10 @@ def covered(docs: DataFrame, size: int = SIZE, gram: int = GRAM, block: int = BL
     ordered = classes.repartition(n, "key").sortWithinPartitions("key", "context")
     runs = ordered.mapInArrow(blocks, "key long, context long, starts array<long>, stops array<long>")
     runs = materialize(runs.union(apart) if several else runs, "bwt-runs")
-    release(docs.sparkSession)
     joined = contexts.select("key", "context", "rid", "at").join(runs, ["key", "context"])
     pairs = F.expr("transform(arrays_zip(starts, stops), x -> struct(x.starts + at as a, x.stops + at as b))")
     out = materialize(joined.select("rid", pairs.alias("spans")).groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans")), "bwt-spans")
     discard(contexts, runs, heavy)
-    release(docs.sparkSession)
     return out
 
 

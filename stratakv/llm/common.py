@@ -46,7 +46,8 @@ def drop_held() -> None:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package, however the driver found it, and keep their batches small."""
+    """Let Python workers import this package, however the driver found it, keep their batches small, and drop shuffle files when a query ends."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(rows, "10000")) > BATCH_ROWS:
         spark.conf.set(rows, str(BATCH_ROWS))
@@ -79,10 +80,21 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there and survives lost executors."""
+def tasks(spark: SparkSession, rows: int, per: int = 20_000) -> int:
+    """Tasks worth having for so many rows: four for each core at least, and beyond that none of fewer than ``per`` rows."""
+    return max(4 * spark.sparkContext.defaultParallelism, -(-rows // per))
+
+
+def materialize(df: DataFrame, tag: str, most: int | None = None) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: lineage ends there and survives lost executors.
+
+    most: tasks to write with at most, where the rows are known to be few for the partitions that they are in.
+    """
     spark = df.sparkSession
+    prepare(spark)
     path = scratch_path(spark, tag)
+    if most:
+        df = df.coalesce(most)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
@@ -97,16 +109,6 @@ def discard(*frames: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files whose frames are gone, before the next ones are written."""
-    import gc
-    import time
-
-    gc.collect()
-    spark._jvm.System.gc()
-    time.sleep(0.5)  # the cleaner works in the background
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

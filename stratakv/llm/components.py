@@ -11,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, release
+from .common import discard, materialize, tasks
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges(a, b), both of one orderable type; component is the least node reachable.
 
     Self-loops, repeated edges and either direction are allowed; rows with a null end are ignored.
@@ -22,8 +22,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = materialize(edges, "edges")
     state = _state(now)
-    spark = now.sparkSession
-    for _ in range(most_rounds):
+    while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
         large = now.select(F.col("v").alias("x"), F.col("u").alias("y")).join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v"))
@@ -32,16 +31,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        after = materialize(small, "edges")
+        after = materialize(small, "edges", tasks(now.sparkSession, state[0], 200_000))
         found = _state(after)
         discard(now)
         now = after
         if found == state:
             break
         state = found
-        release(spark)
-    else:
-        raise RuntimeError(f"no fixed point after {most_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
 
 

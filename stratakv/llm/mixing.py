@@ -17,7 +17,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, word_count
+from .common import materialize, prepare, tasks, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
@@ -61,6 +61,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: st
     one all of a document, none of it, or its first words where the budget ends within it.  Columns to keep go with
     their row and order rows of equal doc_id and size.
     """
+    prepare(docs.sparkSession)
     sizes = docs.select("doc_id", "source", word_count("text").alias("size"), *keep)
     sizes = sizes.withColumn("key", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")))
     sizes = materialize(sizes, "mix-sizes")  # texts are read once
@@ -69,17 +70,18 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: st
     bucket = F.shiftright(F.conv(F.substring("key", 1, 4), 16, 10).cast("int"), 16 - bits)
     sizes = sizes.withColumn("bucket", bucket)
     ranges = sizes.groupBy("source", "bucket").agg(F.sum("size").alias("range_size"))
-    ranges = materialize(ranges, "mix-ranges")
     goals = targets(ranges.groupBy("source").agg(F.sum("range_size").alias("total")), weights, max_epochs)
     along = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranges.withColumn("before", F.coalesce(F.sum("range_size").over(along), F.lit(0))).drop("range_size")
     starts = starts.join(goals.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", *keep).rowsBetween(Window.unboundedPreceding, -1)
-    placed = sizes.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    starts = starts.select(F.col("source").alias("s"), F.col("bucket").alias("b"), "before", "total", "target")
-    placed = placed.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    name = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))  # never null: the window and the join share one shuffle
+    starts = starts.select(name.alias("part"), "bucket", "before", "total", "target")
+    within = Window.partitionBy("part", "bucket").orderBy("key", "doc_id", "size", *keep).rowsBetween(Window.unboundedPreceding, -1)
+    placed = sizes.withColumn("part", name).withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    placed = placed.join(starts, ["part", "bucket"])
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("total") > 0, F.expr("cast(floor(target) as bigint) div total")).otherwise(F.lit(0))
     rest = F.when(F.col("total") > 0, budget % F.col("total")).otherwise(F.lit(0))
     part = F.least(F.col("size"), F.greatest(F.lit(0), rest - F.col("before") - F.col("inside")))
-    return placed.select("doc_id", "source", "size", F.col("total").alias("source_size"), "target", (epochs * F.col("size") + part).cast("long").alias("taken"), *keep)
+    out = placed.select("doc_id", "source", "size", F.col("total").alias("source_size"), "target", (epochs * F.col("size") + part).cast("long").alias("taken"), *keep)
+    return out.coalesce(tasks(docs.sparkSession, n, 100_000))
