@@ -460,8 +460,35 @@ def test_phrases(spark, hard, empty, documents):
     assert set(whole.columns) == {*hard.columns, "n_words", "n_removed", "kept"} - {"text"} and whole.where("windows <> 'clash'").count() == 0
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choice(["a", "b", "cc"]) for _ in range(rng.randrange(40)))) for i in range(80)] + [(200 + i, "a " * 30) for i in range(5)]
+    rows += [(None, "b a cc b a a cc b") for _ in range(4)] + [(7, "a b a cc cc b"), (7, "a b a cc cc b")]
     small = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(map(tuple, dedup(small, 4, 2).select(*cols).collect()), key=str) == brute_phrases(rows, 4)
+    for hot, block in ((1000, 1 << 18), (1000, 200), (3, 200), (0, 1 << 18)):
+        assert sorted(map(tuple, dedup(small, 4, 2, hot=hot, block=block).select(*cols).collect()), key=str) == brute_phrases(rows, 4)
+
+
+def test_phrases_compare_words_and_not_sums(spark):
+    from stratakv.llm.phrases import dedup
+
+    a = "a"
+    for _ in range(10):  # sums of byte values times powers of an odd base modulo 2**64 are equal for these two
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    tail = " one two three four five six seven eight nine ten eleven twelve"
+    docs = spark.createDataFrame([(1, a + tail), (2, b + tail), (3, a + tail)], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in dedup(docs).collect()} == {1: 0, 2: 0, 3: 13}
+
+
+def test_item_hashes_tell_items_apart():
+    from stratakv.llm.hashing import item_hash
+
+    rng = random.Random(3)
+    items = list({bytes(rng.choice(b"ab\0") for _ in range(rng.randrange(1, 90))) for _ in range(3000)} | {b"\0" * k for k in range(1, 80)})
+    data = np.frombuffer(b"".join(items), np.uint8)
+    stop = np.cumsum([len(x) for x in items])
+    start = stop - [len(x) for x in items]
+    assert len(np.unique(item_hash(data, start, stop))) == len(items)
+    again = item_hash(data[start[7] :], start[7:] - start[7], stop[7:] - start[7])
+    assert (again == item_hash(data, start, stop)[7:]).all() and (again != item_hash(data, start, stop, 1)[7:]).all()
 
 
 def brute_bytes(rows, size):
