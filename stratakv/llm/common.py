@@ -80,9 +80,9 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def tasks(spark: SparkSession, rows: int, per: int = 20_000) -> int:
-    """Tasks worth having for so many rows: four for each core at least, and beyond that none of fewer than ``per`` rows."""
-    return max(4 * spark.sparkContext.defaultParallelism, -(-rows // per))
+def tasks(spark: SparkSession, rows: int, per: int = 10_000) -> int:
+    """Tasks worth having for so many rows: one for each core, and beyond that none of fewer than ``per`` rows."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // per))
 
 
 def materialize(df: DataFrame, tag: str, most: int | None = None) -> DataFrame:

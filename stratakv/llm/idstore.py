@@ -2,8 +2,8 @@
 
 Documents are encoded with the tokenizers library (each distinct chunk between white space once per worker),
 an end id is appended, ids are serialized as little-endian integers (two bytes where every id fits) and each
-document is compressed alone under a dictionary trained on a bounded sample of serialized documents.  A
-shard holds a range of doc_ids in ascending order and is one file:
+document is compressed alone under a dictionary trained on a bounded sample of serialized documents.  Documents
+are sorted into ranges of doc_id; a range is one task and one file, or more if its documents are large:
 
     magic, header length, header (JSON: dictionary sha256, id width, documents, index offset),
     compressed documents, index (doc_id int64, offset uint64, ids uint64; the offsets have one more at the end)
@@ -33,11 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import split_chunks
-from .common import held, scratch_path, text_batches, text_buffer
+from .common import discard, held, materialize, prepare, scratch_path, text_batches, text_buffer
 
 MAGIC = b"STRATAID"
 #: Bounds of the sample that trains the dictionary, and its size.
-SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 1500, 6 << 20, 64 << 10
+SAMPLE_DOCS, SAMPLE_PART, SAMPLE_BYTES, DICTIONARY_BYTES = 1500, 16 << 10, 6 << 20, 64 << 10
 #: Serialized bytes of a shard, about; zstandard level.
 SHARD_BYTES, LEVEL = 32 << 20, 3
 KEEP = 600_000
@@ -57,7 +57,11 @@ def _serialize(kind: str, ids: list[int]) -> bytes:
 
 
 class LibraryEncoder:
-    """Chunk by chunk through the tokenizers library; ids as serialized bytes.  Chunks that two generations didn't hold go."""
+    """Chunk by chunk through the tokenizers library; ids as serialized bytes.  Chunks that two generations didn't hold go.
+
+    Unseen chunks of letters alone are words, one each, so many go in one call and part again after the ids that
+    end a word; where the library sees another number of words, and for all other chunks, each is a call.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -65,28 +69,54 @@ class LibraryEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        with open(path, encoding="utf-8") as f:
+            suffix = json.load(f)["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        self.ends[[i for x, i in self.tokenizer.get_vocab().items() if suffix and x.endswith(suffix)]] = True
         self.kept: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
+    def _each(self, chunks: list[bytes]) -> None:
+        kind = "H" if self.width == 2 else "I"
+        for k in range(0, len(chunks), 20_000):
+            part = chunks[k : k + 20_000]
+            found = self.tokenizer.encode_batch_fast([c.decode("utf-8") for c in part], add_special_tokens=False)
+            self.kept.update((c, _serialize(kind, e.ids)) for c, e in zip(part, found, strict=True))
+
+    def _together(self, chunks: list[bytes], many: int = 64) -> None:
+        """Chunks of letters."""
+        parts = [chunks[k : k + many] for k in range(0, len(chunks), many)]
+        for k in range(0, len(parts), 512):
+            some = parts[k : k + 512]
+            for part, e in zip(some, self.tokenizer.encode_batch_fast([b" ".join(p).decode("utf-8") for p in some], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, f"<u{self.width}")
+                stops = (np.flatnonzero(self.ends[ids]) + 1) * self.width
+                if len(stops) == len(part) and stops[-1] == len(ids) * self.width:
+                    raw, stops = ids.tobytes(), stops.tolist()
+                    self.kept.update((c, raw[a:b]) for c, a, b in zip(part, [0, *stops], stops, strict=False))
+                else:
+                    self._each(part)
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         chunks = [split_chunks(t) for t in texts]
         if len(self.kept) > KEEP:
             self.older, self.kept = self.kept, {}
-        kept, older, unseen = self.kept, self.older, []
-        for c in set().union(*chunks).difference(kept):
-            found = older.get(c)
-            if found is None:
-                unseen.append(c)
+        kept, older = self.kept, self.older
+        found = [list(map(kept.get, cs)) for cs in chunks]
+        missing = {c for cs, vs in zip(chunks, found, strict=True) if None in vs for c, v in zip(cs, vs, strict=True) if v is None}
+        unseen, words = [], []
+        for c in missing:
+            old = older.get(c)
+            if old is not None:
+                kept[c] = old
+            elif c.isalpha() or c.decode("utf-8").isalpha():
+                words.append(c)
             else:
-                kept[c] = found
-        kind = "H" if self.width == 2 else "I"
-        for k in range(0, len(unseen), 20_000):
-            part = unseen[k : k + 20_000]
-            found = self.tokenizer.encode_batch_fast([c.decode("utf-8") for c in part], add_special_tokens=False)
-            for c, e in zip(part, found, strict=True):
-                kept[c] = _serialize(kind, e.ids)
-        out = [b"".join(map(kept.__getitem__, cs)) for cs in chunks]
-        for c in unseen:
+                unseen.append(c)
+        self._together(words)
+        self._each(unseen)
+        out = [b"".join(vs if None not in vs else [kept[c] if v is None else v for c, v in zip(cs, vs, strict=True)]) for cs, vs in zip(chunks, found, strict=True)]
+        for c in missing:
             if len(c) > 64:
                 del kept[c]
         return out
@@ -106,30 +136,29 @@ def _serialized(batches: Iterator[pa.RecordBatch], path: str, end_id: int):
         yield batch.column("doc_id"), [x + end for x in enc.encode(texts)], enc.width
 
 
-def train_dictionary(docs: DataFrame, path: str, end_id: int) -> tuple[bytes, float]:
-    """(dictionary, mean serialized bytes of a document), from a sample that is the same in every run."""
+def train_dictionary(docs: DataFrame, path: str, end_id: int) -> bytes:
+    """A dictionary from a sample that is the same in every run: SAMPLE_DOCS documents by hash, SAMPLE_PART bytes of each at most."""
     import zstandard
 
-    n = docs.count()
-    share = min(1.0, SAMPLE_DOCS / max(n, 1))
-    near = F.pmod(F.xxhash64("doc_id", F.lit("dictionary")), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))
+    share = min(1.0, SAMPLE_DOCS / max(docs.count(), 1))
+    chance = F.xxhash64("doc_id", "text", F.lit("dictionary"))
 
     def run(batches):
-        for ids, blobs, _ in _serialized(batches, path, end_id):
-            sizes = [len(b) for b in blobs]
-            yield pa.RecordBatch.from_arrays([pa.array([b[: 1 << 14] for b in blobs], pa.binary()), pa.array(sizes, pa.int64())], ["ids", "size"])
-
-    rows = docs.where(near).select("doc_id", "text").mapInArrow(run, "ids binary, size long").limit(2 * SAMPLE_DOCS).collect()
-    mean = sum(r.size for r in rows) / max(len(rows), 1)
-    samples, held = [], 0
-    for r in sorted(bytes(r.ids) for r in rows):
-        if held < SAMPLE_BYTES:
-            samples.append(r)
-            held += len(r)
+        for batch in batches:
+            for _, blobs, _ in _serialized([batch], path, end_id):
+                yield pa.RecordBatch.from_arrays([pa.array([b[:SAMPLE_PART] for b in blobs], pa.binary())], ["ids"])
+
+    chosen = docs.where(F.pmod(chance, F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).select("doc_id", "text")
+    rows = chosen.mapInArrow(run, "ids binary").withColumn("at", F.xxhash64("ids")).limit(2 * SAMPLE_DOCS).collect()
+    samples, size = [], 0
+    for r in sorted(rows, key=lambda r: (r.at, r.ids)):
+        if size < SAMPLE_BYTES:
+            samples.append(bytes(r.ids))
+            size += len(r.ids)
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes(), mean
+        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:  # too little to train on: plain bytes serve as a dictionary as well
-        return b"".join(samples)[-DICTIONARY_BYTES:], mean
+        return b"".join(samples)[-DICTIONARY_BYTES:]
 
 
 def _dictionary(data: bytes):
@@ -140,19 +169,14 @@ def _dictionary(data: bytes):
 
 def write(docs: DataFrame, path: str, end_id: int, folder: str) -> list[dict]:
     """Write shards of docs(doc_id, text) into folder; returns the manifest, one entry per shard in doc_id order."""
-    dictionary, mean = train_dictionary(docs, path, end_id)
+    spark = docs.sparkSession
+    prepare(spark)
+    dictionary = train_dictionary(docs, path, end_id)
     digest = hashlib.sha256(dictionary).hexdigest()
     fs, at = filesystem(folder)
     fs.create_dir(at, recursive=True)
     with fs.open_output_stream(f"{at}/dictionary-{digest}.zdict") as f:
         f.write(dictionary)
-    stats = docs.agg(F.count("*").alias("n")).first()
-    shards = max(1, int(stats.n * mean / SHARD_BYTES) + 1)
-    cuts = []
-    if shards > 1:
-        q = [k / shards for k in range(1, shards)]
-        cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", q, 100_000).alias("q")).first().q or []))
-    shard = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
 
     def compress(batches):
         import zstandard
@@ -163,35 +187,40 @@ def write(docs: DataFrame, path: str, end_id: int, folder: str) -> list[dict]:
             sums = pa.array([zlib.crc32(b) for b in blobs], pa.int64())
             yield pa.RecordBatch.from_arrays([ids, counts, sums, pa.array([packer.compress(b) for b in blobs], pa.binary())], ["doc_id", "n", "crc", "blob"])
 
-    packed = docs.select("doc_id", "text").mapInArrow(compress, "doc_id long, n long, crc long, blob binary").withColumn("shard", F.coalesce(shard, F.lit(0)).cast("int"))
-    ordered = packed.repartition(max(shards, 1), "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "n", "crc")
+    packed = docs.select("doc_id", "text").mapInArrow(compress, "doc_id long, n long, crc long, blob binary")
+    packed = materialize(packed.withColumn("row", F.monotonically_increasing_id()), "ids-packed")  # the ranges' bounds come from a second look
+    size = packed.agg(F.coalesce(F.sum(F.octet_length("blob")), F.lit(0))).first()[0]
+    order = [F.col("doc_id").asc_nulls_first(), "n", "crc", "row"]  # one doc_id of very many rows is split as well
+    ordered = packed.repartitionByRange(size // SHARD_BYTES + 1, *order).sortWithinPartitions(*order)
 
     def store(batches):
-        out = _Writer(folder, digest, library_encoder(path).width)
+        from pyspark import TaskContext
+
+        out = _Writer(folder, digest, library_encoder(path).width, TaskContext.get().partitionId())
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "n", "blob")), strict=True):
-                done = out.add(*row)
-                if done:
-                    yield done
-        done = out.close()
-        if done:
-            yield done
+            for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "blob")), strict=True):
+                out.add(*row)
+                if out.size > 2 * SHARD_BYTES:
+                    yield out.close()
+        if out.file is not None:
+            yield out.close()
 
-    manifest = ordered.mapInArrow(store, "shard int, path string, n_docs long, n_ids long, n_bytes long").collect()
-    return [r.asDict() for r in sorted(manifest, key=lambda r: r.shard)]
+    manifest = ordered.mapInArrow(store, "part int, number int, path string, n_docs long, n_ids long, n_bytes long").collect()  # one row a file
+    discard(packed)
+    return [r.asDict() for r in sorted(manifest, key=lambda r: (r.part, r.number))]
 
 
 class _Writer:
-    """Writes one shard after the other as its rows come, sorted by shard."""
+    """Writes the shards of one range of documents, one after the other."""
 
-    def __init__(self, folder: str, digest: str, width: int):
-        self.folder, self.digest, self.width, self.shard, self.file = folder, digest, width, None, None
+    def __init__(self, folder: str, digest: str, width: int, part: int):
+        self.folder, self.digest, self.width, self.part = folder, digest, width, part
+        self.number, self.size, self.file = 0, 0, None
         self.fs, self.at = filesystem(folder)
 
-    def add(self, shard: int, doc_id: int | None, n: int, blob: bytes):
-        done = self.close() if self.shard is not None and shard != self.shard else None
+    def add(self, doc_id: int | None, n: int, blob: bytes) -> None:
         if self.file is None:
-            self.shard, self.temporary = shard, f"{self.at}/.{shard}-{uuid.uuid4().hex}"
+            self.temporary = f"{self.at}/.{self.part}-{uuid.uuid4().hex}"
             self.file = self.fs.open_output_stream(self.temporary)
             header = json.dumps({"dictionary": self.digest, "width": self.width}).encode()
             self.file.write(MAGIC + len(header).to_bytes(4, "little") + header)
@@ -201,20 +230,17 @@ class _Writer:
         self.offsets.append(self.size)
         self.file.write(blob)
         self.size += len(blob)
-        return done
 
-    def close(self):
-        if self.file is None:
-            return None
+    def close(self) -> pa.RecordBatch:
         index = np.array(self.ids, "<i8").tobytes() + np.array([*self.offsets, self.size], "<u8").tobytes() + np.array(self.counts, "<u8").tobytes()
         self.file.write(index + len(self.ids).to_bytes(8, "little") + MAGIC)
         self.file.close()
-        final = f"{self.at}/ids-{self.shard:07d}.bin"
-        self.fs.move(self.temporary, final)
-        row = [self.shard, f"{self.folder}/ids-{self.shard:07d}.bin", len(self.ids), sum(self.counts), self.size + len(index) + 16]
-        self.file = None
-        kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], ["shard", "path", "n_docs", "n_ids", "n_bytes"])
+        name = f"ids-{self.part:07d}-{self.number:04d}.bin"
+        self.fs.move(self.temporary, f"{self.at}/{name}")
+        row = [self.part, self.number, f"{self.folder}/{name}", len(self.ids), sum(self.counts), self.size + len(index) + 16]
+        self.file, self.number, self.size = None, self.number + 1, 0
+        kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], ["part", "number", "path", "n_docs", "n_ids", "n_bytes"])
 
 
 class Shard:
@@ -262,9 +288,11 @@ def read(spark, manifest: list[dict]) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from the files of a manifest, one task per shard."""
     rows, base = [], 0
     for m in manifest:
-        rows.append((m["shard"], m["path"], base))
+        rows.append((m["path"], base))
         base += m["n_ids"]
-    shards = spark.createDataFrame(rows, "shard int, path string, base long").repartition(max(1, len(rows)), "shard")
+    if not rows:
+        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
+    shards = spark.createDataFrame(rows, "path string, base long").repartition(len(rows))
 
     def run(batches):
         for batch in batches:

@@ -71,7 +71,7 @@ def _anchors(rows: DataFrame, size: int, gram: int, hot: int, most: int) -> Data
             owner = pa.array(w.text[at])
             yield pa.RecordBatch.from_arrays([pa.array(w.anchor[at].view(np.int64)), batch.column("rid").take(owner), batch.column("id").take(owner)], ["anchor", "rid", "id"])
 
-    named = materialize(rows.mapInArrow(run, "anchor long, rid long, id long"), "phrase-anchors")
+    named = materialize(rows.mapInArrow(run, "anchor long, rid long, id long"), "phrase-anchors", most)
     found = named.groupBy("anchor").agg(F.min("id").alias("least"), F.max("id").alias("greatest"), F.count("*").alias("n"))
     found = materialize(found.where("least < greatest").select("anchor", (F.col("n") > hot).alias("many")), "phrase-recurring", most)
     lists = named.select("anchor", "rid").join(found, "anchor").groupBy("rid").agg(F.collect_list("anchor").alias("anchors"), F.collect_list(F.when(F.col("many"), F.col("anchor"))).alias("many"))
