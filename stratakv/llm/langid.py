@@ -7,10 +7,13 @@ Piece probabilities come from expectation maximisation over the training words,
 neutral weights.  The prediction is the language of greatest likelihood, its score the posterior share.
 
 The model is fitted on a bounded sample: about SAMPLE_DOCS whole documents of each language, chosen by a hash
-of doc_id, and the WORDS most frequent words of each (ties by bytes).  Scoring covers every word of every text.
+of doc_id and text, and the WORDS most frequent words of each (ties by bytes).  Training words longer than 64
+bytes are cut there between characters.  Scoring covers every word of every text, whatever its length; sums are
+rescaled by language, so that no word is out of range.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every text if no
-training row exists.  Ties go to the language first in code point order.  Repeated rows score alike.
+training row exists.  Ties go to the language first in code point order.  Repeated rows score alike; extra
+columns are ignored unless asked for; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,8 +30,6 @@ from .common import held, text_batches, text_buffer
 from .hashing import prefix_hash, span_hash
 
 SAMPLE_DOCS, WORDS, ROUNDS, LONGEST = 600, 20_000, 2, 16
-#: Most languages that one model holds.
-LANGUAGES = 1000
 KEEP = 300_000
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -121,11 +122,9 @@ class Lattice:
             for length, rows, found in step:
                 now[rows] += alpha[stop - length][rows] * p[found]
             done = int(np.searchsorted(-lengths, -stop - 1, "right"))
-            with np.errstate(divide="ignore"):
-                scale[done:alive] += np.log(now[done:alive])
-            if stop % 8 == 0 and done:  # keep long words within range
-                top = now[:done].max(axis=1, keepdims=True)
-                top[top == 0] = 1
+            scale[done:alive] += np.log(np.maximum(now[done:alive], 1e-300))
+            if stop % 8 == 0 and done:  # keep long words within range, each language by itself
+                top = np.maximum(now[:done], 1e-300)
                 for back in range(max(0, stop - LONGEST), stop):
                     alpha[back] = alpha[back][:done] / top
                 now = now[:done] / top
@@ -173,13 +172,9 @@ def cut(word: bytes, limit: int = 64) -> list[bytes]:
 
 def training_words(docs: DataFrame, seed: str = "langid") -> list[tuple[str, bytes, int]]:
     """(lang, word, count) over the bounded sample of docs(doc_id, text, lang); lower-cased words."""
-    sizes = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).groupBy("lang").count().limit(LANGUAGES + 1).collect()
-    if len(sizes) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    if not sizes:
-        return []
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r.lang), F.lit(int(min(1.0, SAMPLE_DOCS / r["count"]) * (1 << 20))))])
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) < share[F.col("lang")])
+    docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    sizes = docs.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(SAMPLE_DOCS) / F.count("*")).alias("share"))
+    chosen = docs.join(sizes, "lang").where(F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 20)) < F.col("share") * (1 << 20))
 
     def count(batches):
         from collections import Counter

@@ -425,6 +425,20 @@ def test_segmentations_are_summed():
 
     some = [b"abc", b"aaaa", b"", b"xabcabc", b"aaabcaaabc"]
     assert np.allclose(Lattice(vocabulary).forward(some, p), np.log([np.ones(2) * brute(w) for w in some]))
+    # a long word of one letter: both languages keep their own scale, however far apart they are
+    q = np.full((len(vocabulary), 2), 1e-7)
+    q[97] = (0.9, 1e-6)
+    for n in (31, 32, 33, 4000):
+        assert np.allclose(Lattice([bytes([b]) for b in range(256)]).forward([b"a" * n], q[:256]), n * np.log(q[97]))
+
+
+def test_long_words_have_scores(spark, documents):
+    from stratakv.llm import langid
+
+    model = langid.train(documents, public_tokenizers.path("piece_bpe_32k.model"))
+    rows = [(1, "the" * 600 + " " + "ich" * 600), (2, "und" * 5000 + " " + "que" * 3000 + " " + "les" * 900), (3, "x" * 20_000)]
+    told = langid.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    assert len(told) == 3 and all(0 <= r.score <= 1 and r.lang_pred in model.languages for r in told)
 
 
 # --- 7, 8 -------------------------------------------------------------------------------------------------------
