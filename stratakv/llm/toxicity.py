@@ -9,17 +9,17 @@ all documents of the corpus.  Rare expressions so get nearly equal likelihoods.
 
 An expression is a run of EXPRESSION words, each judged after the word before it; its evidence is the difference
 of the two log-likelihoods over its length, and a document's is the greatest among its expressions (a shorter
-text is one expression).  A logistic curve fitted on out-of-fold evidence turns it into a score.  The discounts
-are not Kneser and Ney's, which are below 1: they rise with the labelled documents, so that words and pairs that
-occur in few of them say nothing of the class.
+text is one expression).  A logistic curve fitted on out-of-fold evidence turns it into a score.  The discount
+is the one of DISCOUNTS with the least out-of-fold loss on the learning rows; Kneser and Ney's is below 1.
 
 Words are runs of bytes between white space and ASCII punctuation, A-Z lowered.  The class counts come from a
-bounded sample (SAMPLE labelled documents of each class, by a hash of doc_id) and all of its words; the shared
+bounded sample (SAMPLE labelled documents of each class, by a hash of doc_id, SAMPLE_BYTES in all) and all of its words; the shared
 counts are of the distinct pairs of words of all documents, for every word of the corpus.
 
 Defined results: null and empty texts have evidence 0; without a training row of each class every score is the
 share of toxic training rows (0 without any); rows with equal doc_ids share a label (the largest); null labels
-teach nothing; repeated rows score alike.
+teach nothing; equal rows teach once and score alike; extra columns are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -32,16 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, held, materialize, shuffle_partitions, text_batches, text_buffer
-from .hashing import mix, prefix_hash, run_starts, span_hash, words
+from .common import discard, held, materialize, prepare, shuffle_partitions, tasks, text_batches, text_buffer
+from .hashing import item_hash, mix, run_starts, words
 
-SAMPLE, EXPRESSION = 3000, 3
+SAMPLE, SAMPLE_BYTES, EXPRESSION = 3000, 48 << 20, 3
 THRESHOLD = 0.7
 #: Pairs of words that a task holds before it sends them on, and buckets over which a word's pairs are spread.
 PAIRS, SPREAD = 2 << 20, 8
-#: Discount of word continuations: one for every so many documents of the smaller class, within these bounds;
-#: pairs have twice as much, so that phrases which documents share by chance back off to their words.
-DOCS_PER_DISCOUNT, LEAST_DISCOUNT, MOST_DISCOUNT = 25, 0.75, 12.0
+#: Discounts of word continuations from which the folds of the learning rows choose; pairs have twice as much, so
+#: that phrases which documents share by chance back off to their words.
+DISCOUNTS = (0.75, 3.0, 12.0)
 #: Share of the joint pairs in a class's own.
 JOINT = 0.2
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -53,7 +53,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """(word hashes, hashes of the word before and of that before it, first word of each text); 0 where a text begins."""
     data = _FOLD[data]
     start, stop, first = words(data, offsets)
-    h = span_hash(prefix_hash(data), start, stop)
+    h = item_hash(data, start, stop)
     one, two = np.zeros_like(h), np.zeros_like(h)
     one[1:], two[2:] = h[:-1], h[:-2]
     begins = first[:-1][first[:-1] < len(h)]
@@ -84,11 +84,10 @@ def numbers(vocabulary: np.ndarray, h: np.ndarray) -> np.ndarray:
 class Model:
     """Two classes' smoothed distributions as arrays, and the curve from evidence to score."""
 
-    def __init__(self, vocabulary: np.ndarray, classes: list[Counts], shared: np.ndarray, docs: int, mass: float | None = None):
+    def __init__(self, vocabulary: np.ndarray, classes: list[Counts], shared: np.ndarray, discount: float, mass: float | None = None):
         self.vocabulary, self.curve = vocabulary, (0.0, 0.0)
         n = len(vocabulary) + 1
-        d1 = min(max(docs / DOCS_PER_DISCOUNT, LEAST_DISCOUNT), MOST_DISCOUNT)
-        d2 = 2 * d1
+        d1, d2 = discount, 2 * discount
         backoff = (shared + 1) / (mass or (shared + 1).sum())
         pairs = np.unique(np.concatenate([c.pair for c in classes]))
         counts = np.zeros((2, len(pairs)))
@@ -170,28 +169,47 @@ def _all_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return (*(np.concatenate([f[k] for f in found]) for k in range(3)), np.concatenate([[0], np.cumsum(sizes)]))
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """First bytes of all values, then the second ones, and so on: leading zeros meet and compress."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def _values(raw: bytes, at: int, n: int, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T).view(kind).ravel()
+
+
 def _packed(word: np.ndarray, before: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """(bucket, pairs) of pairs of hashes: words, how many different ones come before each, and 48 bits of each of those.
+    """(bucket, pairs) of pairs of hashes: words, how many different ones come before each, and 32 bits of each of those, as differences.
 
     A pair's bucket is its word's, or one of the SPREAD - 1 after it by the word before, so that a frequent word is shared.
     """
-    bucket = ((mix(word) % np.uint64(buckets) + (before >> np.uint64(16)) % np.uint64(SPREAD)) % np.uint64(buckets)).astype(np.int32)
-    order = np.lexsort((word, bucket))
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=1).compress
+    before = before >> np.uint64(32)
+    bucket = ((mix(word) % np.uint64(buckets) + before % np.uint64(SPREAD)) % np.uint64(buckets)).astype(np.int32)
+    order = np.lexsort((before, word, bucket))
     word, before, bucket = word[order], before[order], bucket[order]
     edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
     for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        own, n = np.unique(word[lo:hi], return_counts=True)
-        six = np.ascontiguousarray(before[lo:hi].astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:])
-        blob = np.uint32(len(own)).tobytes() + own.astype("<u8").tobytes() + n.astype("<u4").tobytes() + six.tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[lo : lo + 1]), pa.array([blob], pa.binary())], ["bucket", "pairs"])
+        own, at, n = np.unique(word[lo:hi], return_index=True, return_counts=True)
+        steps = np.diff(before[lo:hi], prepend=np.uint64(0))
+        steps[at] = before[lo:hi][at]
+        blob = np.uint32(len(own)).tobytes() + _planes(np.diff(own, prepend=np.uint64(0))) + _planes(n.astype("<u4")) + _planes(steps.astype("<u4"))
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[lo : lo + 1]), pa.array([pack(blob)], pa.binary())], ["bucket", "pairs"])
 
 
 def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    size = int(np.frombuffer(blob, "<u4", 1)[0])
-    own, n = np.frombuffer(blob, "<u8", size, 4), np.frombuffer(blob, "<u4", size, 4 + 8 * size)
-    before = np.zeros((int(n.sum()), 8), np.uint8)
-    before[:, 2:] = np.frombuffer(blob, np.uint8, offset=4 + 12 * size).reshape(-1, 6)
-    return np.repeat(own, n), before.view("<u8").ravel()
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    size = int(np.frombuffer(raw, "<u4", 1)[0])
+    own, n = np.cumsum(_values(raw, 4, size, "<u8")), _values(raw, 4 + 8 * size, size, "<u4").astype(np.int64)
+    steps = _values(raw, 4 + 12 * size, int(n.sum()), "<u4").astype(np.uint64)
+    sums = np.cumsum(steps)
+    at = np.cumsum(n) - n
+    return np.repeat(own, n), sums - np.repeat(sums[at] - steps[at], n)
 
 
 def _distinct(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -252,7 +270,7 @@ def shared_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray,
             inside = np.flatnonzero(at < len(sent.value))
             yield pa.RecordBatch.from_arrays([pa.array(at[inside].astype(np.int32)), batch.column("n").take(pa.array(inside))], ["at", "n"])
 
-    counts = materialize(continuations(docs), "toxicity-words")
+    counts = materialize(continuations(docs), "toxicity-words", tasks(docs.sparkSession, docs.count()))
     words_, pairs = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     rows = counts.mapInArrow(run, "at int, n long").toArrow()
     discard(counts)
@@ -261,44 +279,59 @@ def shared_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray,
     return out, words_ + pairs + 1
 
 
+def _sample(docs: DataFrame, labels: DataFrame, seed: str) -> tuple[list[bytes], np.ndarray, dict[int, int]]:
+    """(texts, whether toxic, labelled documents of each class): different texts by hash, SAMPLE of each class and SAMPLE_BYTES in all at most."""
+    labels = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    sizes = {r.toxic: r["count"] for r in labels.groupBy("toxic").count().collect()}  # two rows
+    texts, toxic = [], []
+    for c in sorted(sizes):
+        share = min(1.0, SAMPLE / sizes[c])
+        near = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) < F.lit(share * (1 << 20))
+        chosen = labels.where((F.col("toxic") == c) & near).select("doc_id").limit(2 * SAMPLE)  # SAMPLE are expected: small enough to broadcast
+        rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")).distinct()
+        size = 0
+        for r in rows.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(SAMPLE).toLocalIterator():
+            size += len(r.text)
+            if size > SAMPLE_BYTES // 2:
+                break
+            texts.append(bytes(r.text))
+            toxic.append(c == 1)
+    return texts, np.array(toxic, bool), sizes
+
+
 def train(docs: DataFrame, labels: DataFrame, seed: str = "toxicity") -> Model | float:
     """Fit on docs(doc_id, text) and labels(doc_id, toxic), rows that may be learned from; a constant score if a class is missing."""
-    labels = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    sizes = {r.toxic: r["count"] for r in labels.groupBy("toxic").count().collect()}
-    if len(sizes) < 2:
-        return float(max(sizes, default=0))
-    share = F.when(F.col("toxic") == 1, F.lit(min(1.0, SAMPLE / sizes[1]))).otherwise(F.lit(min(1.0, SAMPLE / sizes[0])))
-    near = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) < share * (1 << 20)
-    chosen = labels.where(near)  # 2 * SAMPLE rows expected, and so small enough to broadcast
-    rows = docs.where(F.col("doc_id").isNotNull()).join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")).toArrow()
-    order = np.lexsort((rows.column("doc_id").to_numpy(),))
-    toxic = rows.column("toxic").to_numpy()[order].astype(bool)
-    texts = [rows.column("text")[int(i)].as_py() for i in order]
-    del rows
+    prepare(docs.sparkSession)
+    texts, toxic, sizes = _sample(docs, labels, seed)
     if not toxic.any() or toxic.all():
-        return float(toxic.any())
+        return float(len(toxic) > 0 and toxic.all())
     h, one, two, first = _all_tokens(texts)
     vocabulary = np.unique(h)
     shared, mass = shared_counts(docs, vocabulary)
     owner = np.repeat(np.arange(len(texts)), np.diff(first))
+    weight = np.where(toxic, sizes[1] / toxic.sum(), sizes[0] / (~toxic).sum())
 
-    def fit(part: np.ndarray) -> Model:
-        classes = []
-        for c in (True, False):
-            pick = (part & (toxic == c))[owner]
-            classes.append(Counts(vocabulary, h[pick], one[pick], two[pick]))
-        return Model(vocabulary, classes, shared, int(toxic.sum()), mass)
+    def counts(part: np.ndarray) -> list[Counts]:
+        return [Counts(vocabulary, h[pick], one[pick], two[pick]) for pick in ((part & (toxic == c))[owner] for c in (True, False))]
 
-    half = np.arange(len(texts)) % 2 == 0
-    evidence = np.zeros(len(texts))
-    for part in (half, ~half):
+    folds = []
+    for fold in range(2):
+        part = np.arange(len(texts)) % 2 == fold
         if (toxic & part).any() and (~toxic & part).any():
-            held = np.flatnonzero(~part)
-            half_model = fit(part)
-            evidence[held] = np.concatenate([half_model.evidence(*p) for p in _parts([texts[i] for i in held])])
-    model = fit(np.ones(len(texts), bool))
-    weight = np.where(toxic, sizes[1] / toxic.sum(), sizes[0] / (~toxic).sum())
-    model.curve = logistic(evidence, toxic.astype(float), weight)
+            folds.append((np.flatnonzero(~part), counts(part)))
+    best = None
+    for discount in DISCOUNTS:
+        evidence = np.zeros(len(texts))
+        for rest, classes in folds:
+            half = Model(vocabulary, classes, shared, discount, mass)
+            evidence[rest] = np.concatenate([half.evidence(*p) for p in _parts([texts[i] for i in rest])])
+        curve = logistic(evidence, toxic.astype(float), weight)
+        told = 1 / (1 + np.exp(-np.clip(curve[0] + curve[1] * evidence, -40, 40)))
+        loss = -(weight * np.log(np.maximum(np.where(toxic, told, 1 - told), 1e-12))).sum()
+        if best is None or loss < best[0]:
+            best = loss, discount, curve
+    model = Model(vocabulary, counts(np.ones(len(texts), bool)), shared, best[1], mass)
+    model.discount, model.curve = best[1], best[2]
     return model
 
 

@@ -330,7 +330,7 @@ def test_toxicity(spark, hard, empty):
     above = sum((np.array(clean) < s).mean() for s in toxic) / len(toxic)
     assert above > 0.7 and all(0 <= s <= 1 for s in toxic + clean)
     assert sum(r.predicted for r in held if not r.toxic) <= 0.01 * len(clean)
-    assert sum(r.predicted for r in held if r.toxic) >= 0.3 * len(toxic)
+    assert sum(r.predicted for r in held if r.toxic) >= 0.7 * len(toxic)
     assert score(hard, model).count() == len(HARD) and score(empty, model).count() == 0
     nothing = train(docs, labels.limit(0))
     assert {r.score for r in score(hard, nothing).collect()} == {0.0}
@@ -347,7 +347,7 @@ def test_toxicity_judges_expressions_of_several_words():
     toxic = [t + b" x y z" for t in ordinary]
     sides = [model_of(toxic), model_of(ordinary)]
     vocabulary = np.unique(sides[0][0])
-    model = T.Model(vocabulary, [T.Counts(vocabulary, *s[:3]) for s in sides], np.ones(len(vocabulary) + 1), 40)
+    model = T.Model(vocabulary, [T.Counts(vocabulary, *s[:3]) for s in sides], np.ones(len(vocabulary) + 1), 1.6)
     text = b"a b x c d y z e f"
     gains = []
     for k in range(1, 10):  # a word's own evidence: what it adds to the sum over the text so far
@@ -363,6 +363,63 @@ def test_toxicity_judges_expressions_of_several_words():
     assert np.isclose(got, max(steps[k : k + 3].mean() for k in range(7))) and got < steps.max()
 
 
+def test_kneser_ney_against_plain_python():
+    from stratakv.llm import toxicity as T
+
+    rng = random.Random(9)
+    sides = [[[rng.choice("abcde") for _ in range(rng.randrange(1, 25))] for _ in range(30)] for _ in range(2)]
+    sides[0][0] += ["x", "y"] * 5
+    vocabulary_words = sorted({w for side in sides for t in side for w in t})
+    shared_of = {w: rng.randrange(9) for w in vocabulary_words}
+
+    def packed(texts):
+        raw = [" ".join(t).encode() for t in texts]
+        return T.tokens(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+
+    own = {w: int(packed([[w]])[0][0]) for w in vocabulary_words}
+    vocabulary = np.array(sorted(own.values()), np.uint64)
+    shared = np.zeros(len(vocabulary) + 1)
+    for w, n in shared_of.items():
+        shared[np.searchsorted(vocabulary, np.uint64(own[w]))] = n
+    d1, d2 = 0.75, 1.5
+    model = T.Model(vocabulary, [T.Counts(vocabulary, *packed(side)[:3]) for side in sides], shared, d1)
+
+    pairs = []  # of each class: (v, w) -> different words before v
+    for side in sides:
+        seen = {}
+        for t in side:
+            for k, w in enumerate(t):
+                v, u = (t[k - 1] if k else None), (t[k - 2] if k > 1 else None)
+                seen.setdefault((v, w), set()).add(u)
+        pairs.append({p: len(x) for p, x in seen.items()})
+    joint = Counter()
+    for x in pairs:
+        joint.update(x)
+    kept = {p: n - d2 for p, n in joint.items() if n > d2}
+
+    def probability(c, v, w):
+        words_ = Counter(b for _, b in pairs[c])  # different words before each
+        total = sum(words_.values())
+        off = sum(min(n, d1) for n in words_.values())
+        one = max(words_[w] - d1, 0) / total + off / total * (shared_of[w] + 1) / (sum(shared_of.values()) + len(vocabulary) + 1)
+        after = sum(n for (a, _), n in joint.items() if a == v)
+        mass = sum(n for (a, _), n in kept.items() if a == v)
+        rest = 1 - mass / after if after else 1.0
+        if (v, w) not in kept:
+            return rest * one
+        common = kept[v, w] / mass
+        mine = {p: max(pairs[c].get(p, 0) - d2, 0) for p in kept if p[0] == v}
+        whole = sum(mine.values())
+        share = (1 - T.JOINT) * mine[v, w] / whole + T.JOINT * common if whole else common
+        return (1 - rest) * share + rest * one
+
+    text = ["a", "x", "y", "b", "c", "x", "y"]
+    gains = [np.log(probability(0, v, w) / probability(1, v, w)) for v, w in zip([None, *text], text)]
+    want = max(np.mean(gains[k : k + T.EXPRESSION]) for k in range(len(text) - T.EXPRESSION + 1))
+    raw = " ".join(text).encode()
+    assert np.isclose(model.evidence(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0], want)
+
+
 def test_shared_counts_are_of_distinct_pairs_of_the_whole_corpus(spark):
     from stratakv.llm import toxicity as T
 
