@@ -15,12 +15,9 @@ def usable(column: str):
     return F.coalesce(finite & F.exists(x, lambda v: v != 0), F.lit(False))
 
 
-def dimensions(vectors: DataFrame, column: str = "embedding", most: int = 100) -> list[int]:
+def dimensions(vectors: DataFrame, column: str = "embedding") -> list[int]:
     """The lengths that occur; vectors of different lengths are never compared."""
-    found = [r[0] for r in vectors.groupBy(F.size(column)).count().limit(most + 1).collect()]
-    if len(found) > most:
-        raise ValueError(f"more than {most} vector lengths")
-    return sorted(found)
+    return sorted(r[0] for r in vectors.groupBy(F.size(column)).count().collect())
 
 
 def matrix(column: pa.Array, dim: int, kind=np.float64) -> np.ndarray:

@@ -142,6 +142,8 @@ def test_nearest_neighbours(spark):
     assert hit / total >= 0.9
     none = spark.createDataFrame([], VEC)
     assert search(none, none).count() == 0
+    again = df.union(df.where("vec_id = 40"))  # a query row that repeats is answered once
+    assert [r.vec_id for r in search(again, again.where("vec_id = 40"), k=10).orderBy("rank").collect()] == [g[1] for g in got[40]]
     few = spark.createDataFrame([(0, [1.0, 0.0], 0), (1, [1.0, 1.0], 0), (2, [1.0, 1.0], 0)], VEC)
     assert [(r.vec_id, r.rank) for r in search(few, few.where("vec_id = 0")).orderBy("rank").collect()] == [(1, 1), (2, 2)]
 
