@@ -13,8 +13,8 @@
 5. The windows found are joined back to their documents and covered bytes are removed.
 
 Defined results: null texts are empty; texts shorter than a window keep all; repeated rows are occurrences of
-their own (equal texts of SIZE bytes or more vanish from all rows); extra columns are ignored; an empty table
-gives an empty result.
+their own (equal texts of SIZE bytes or more vanish from all rows) and have a number of their own, whatever their
+doc_id, null included; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, shuffle_partitions, text_batches, text_buffer
+from .common import discard, materialize, shuffle_partitions, tasks, text_batches, text_buffer
 from .hashing import prefix_hash, run_starts, span_hash, window_min
 
 SIZE, GRAM = 200, 48
@@ -140,7 +140,7 @@ class _Anchors:
         self.key = hashes[self.at]
 
 
-def _contexts(docs: DataFrame, size: int, gram: int) -> DataFrame:
+def _contexts(docs: DataFrame, most: int, size: int, gram: int) -> DataFrame:
     """(key, context, rid, at, length, bytes): contexts of recurring anchors; bytes once a batch for equal ones."""
 
     def anchors(batches: Iterator[pa.RecordBatch]):
@@ -170,12 +170,12 @@ def _contexts(docs: DataFrame, size: int, gram: int) -> DataFrame:
                 ["key", "context", "rid", "at", "length", "bytes"],
             )
 
-    found = materialize(docs.select("rid", "text").mapInArrow(anchors, "key long, rid long, place array<long>"), "bwt-anchors")
+    found = materialize(docs.select("rid", "text").mapInArrow(anchors, "key long, rid long, place array<long>"), "bwt-anchors", most)
     # an anchor recurs if it has two occurrences, be it in one document; a table, so that a skewed join can split
-    twice = materialize(found.groupBy("key").agg(F.sum(F.size("place")).alias("n")).where("n > 1").select("key"), "bwt-twice")
-    places = materialize(found.join(twice, "key").groupBy("rid").agg(F.flatten(F.collect_list("place")).alias("places")), "bwt-places")
+    twice = materialize(found.groupBy("key").agg(F.sum(F.size("place")).alias("n")).where("n > 1").select("key"), "bwt-twice", most)
+    places = materialize(found.join(twice, "key").groupBy("rid").agg(F.flatten(F.collect_list("place")).alias("places")), "bwt-places", most)
     discard(found, twice)
-    out = materialize(docs.select("rid", "text").join(places, "rid").mapInArrow(contexts, "key long, context long, rid long, at long, length int, bytes binary"), "bwt-contexts")
+    out = materialize(docs.select("rid", "text").join(places, "rid").mapInArrow(contexts, "key long, context long, rid long, at long, length int, bytes binary"), "bwt-contexts", most)
     discard(places)
     return out
 
@@ -199,9 +199,9 @@ def _hot_runs(classes: DataFrame, size: int) -> DataFrame:
     return found.groupBy("key", "context").agg(F.collect_list("start").alias("starts")).select("key", "context", "starts", F.transform("starts", lambda x: x + size).alias("stops"))
 
 
-def covered(docs: DataFrame, size: int = SIZE, gram: int = GRAM, block: int = BLOCK, hot: int = HOT) -> DataFrame:
+def covered(docs: DataFrame, most: int, size: int = SIZE, gram: int = GRAM, block: int = BLOCK, hot: int = HOT) -> DataFrame:
     """(rid, spans array<struct<a, b>>) of docs(rid, text): byte runs, not yet merged, that recurring strings cover."""
-    contexts = _contexts(docs, size, gram)
+    contexts = _contexts(docs, most, size, gram)
     classes = contexts.groupBy("key", "context").agg(F.count("*").alias("n"), F.max("bytes").alias("bytes"))
 
     def compare(held: list[tuple[int, int, int, bytes]]):
@@ -239,25 +239,27 @@ def covered(docs: DataFrame, size: int = SIZE, gram: int = GRAM, block: int = BL
 
     n = shuffle_partitions(docs.sparkSession)
     held = contexts.groupBy("key", "context").agg(F.max("length").alias("length")).groupBy("key").agg(F.sum("length").alias("total"))
-    heavy = materialize(held.where(F.col("total") > hot).select("key"), "bwt-hot")
+    heavy = materialize(held.where(F.col("total") > hot).select("key"), "bwt-hot", 1)
     several = heavy.count()  # each stands for more than ``hot`` bytes of the corpus
     if several:
         apart = _hot_runs(classes.join(heavy, "key"), size)
         classes = classes.join(heavy, "key", "left_anti")
     ordered = classes.repartition(n, "key").sortWithinPartitions("key", "context")
     runs = ordered.mapInArrow(blocks, "key long, context long, starts array<long>, stops array<long>")
-    runs = materialize(runs.union(apart) if several else runs, "bwt-runs")
+    runs = materialize(runs.union(apart) if several else runs, "bwt-runs", most)
     joined = contexts.select("key", "context", "rid", "at").join(runs, ["key", "context"])
     pairs = F.expr("transform(arrays_zip(starts, stops), x -> struct(x.starts + at as a, x.stops + at as b))")
-    out = materialize(joined.select("rid", pairs.alias("spans")).groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans")), "bwt-spans")
+    out = materialize(joined.select("rid", pairs.alias("spans")).groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans")), "bwt-spans", most)
     discard(contexts, runs, heavy)
     return out
 
 
 def dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM, keep_bytes: bool = False, block: int = BLOCK, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary or kept_sha256 string) for each row of docs(doc_id, text)."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
-    found = covered(rows.select("rid", "text"), size, gram, block, hot)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("rid", F.monotonically_increasing_id())
+    rows = materialize(rows, "bwt-rows")  # from here on a row keeps its number
+    most = tasks(docs.sparkSession, rows.count())
+    found = covered(rows.select("rid", "text"), most, size, gram, block, hot)
     last, kind = ("kept", "binary") if keep_bytes else ("kept_sha256", "string")
 
     def clean(batches: Iterator[pa.RecordBatch]):
@@ -278,4 +280,4 @@ def dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM, keep_bytes: bool
                 values.append(own.tobytes() if keep_bytes else hashlib.sha256(own.tobytes()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(removed), pa.array(pieces), pa.array(values, pa.binary() if keep_bytes else pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", last])
 
-    return rows.join(found, "rid", "left").mapInArrow(clean, f"doc_id long, n_bytes long, n_removed long, n_spans long, {last} {kind}")
+    return rows.join(found, "rid", "left").coalesce(most).mapInArrow(clean, f"doc_id long, n_bytes long, n_removed long, n_spans long, {last} {kind}")

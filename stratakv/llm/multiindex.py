@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, shuffle_partitions
+from .common import discard, materialize, prepare, shuffle_partitions, tasks
 from .components import components
 from .simhash import Forest
 from .vectors import dimensions, kmeans, matrix, nearest, sample, squares, unit, usable
@@ -64,8 +64,8 @@ class Grid:
 
 
 def grid_side(n: int) -> int:
-    """Centres a half: cells hold some 256 vectors of the whole table, 256 centres at most."""
-    return min(256, max(4, 2 ** round(math.log2(max(math.sqrt(n / 256), 1)))))
+    """Centres a half: cells hold some 256 vectors of the whole table, as long as the sample has eight vectors a centre."""
+    return min(SAMPLE // 8, max(4, 2 ** round(math.log2(max(math.sqrt(n / 256), 1)))))
 
 
 def visits_needed(grid: Grid, x: np.ndarray, cosine: float, target: float) -> int:
@@ -76,12 +76,19 @@ def visits_needed(grid: Grid, x: np.ndarray, cosine: float, target: float) -> in
     y = cosine * x + math.sqrt(1 - cosine * cosine) * unit(noise)
     cells = len(grid.first) * len(grid.second)
     home_x, home_y = grid.home(x), grid.home(y)
-    place = np.full(len(x), cells)
-    for own, other in ((x, home_y), (y, home_x)):
-        for a in range(0, len(x), 512):
-            seen = grid.visits(own[a : a + 512], cells) == other[a : a + 512, None]
-            place[a : a + 512] = np.minimum(place[a : a + 512], seen.argmax(axis=1) + 1)
-    return int(np.quantile(place, target, method="higher")) if len(place) else 1
+    tried = 64
+    while len(x):
+        tried = min(tried, cells)
+        place = np.full(len(x), cells)
+        for own, other in ((x, home_y), (y, home_x)):
+            for a in range(0, len(x), 512):
+                seen = grid.visits(own[a : a + 512], tried) == other[a : a + 512, None]
+                place[a : a + 512] = np.minimum(place[a : a + 512], np.where(seen.any(axis=1), seen.argmax(axis=1) + 1, cells))
+        need = int(np.quantile(place, target, method="higher"))
+        if need <= tried or tried == cells:
+            return need
+        tried *= 4
+    return 1
 
 
 def _dealt(nodes: DataFrame, grid: Grid, cells: int, dim: int) -> DataFrame:
@@ -188,12 +195,16 @@ def link(nodes: DataFrame, dim: int, cosine: float = COSINE, target: float = TAR
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, target: float = TARGET) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors(vec_id, embedding, label)."""
+    prepare(vectors.sparkSession)
     rows = vectors.select("vec_id", "embedding", "label").withColumn("ok", usable("embedding") & F.col("label").isNotNull())
-    able = rows.where("ok").withColumn("node", F.xxhash64("label", "embedding"))
-    nodes = materialize(able.groupBy("label", "node", "embedding").agg(F.count("*").alias("weight"), F.min("vec_id").alias("least")), "grid-nodes")
+    able = rows.where("ok")
+    nodes = able.groupBy("label", "embedding").agg(F.count("*").alias("weight"), F.min("vec_id").alias("least"))
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "grid-nodes")  # a number, not a hash: it is the vector's identity
+    most = tasks(vectors.sparkSession, nodes.count())
     found = []
     for dim in dimensions(nodes):
-        found.append(materialize(link(nodes.where(F.size("embedding") == dim).drop("least"), dim, cosine, target), "grid-links"))
+        part = nodes.where(F.size("embedding") == dim).select("label", "node", "weight", "embedding")
+        found.append(materialize(link(part, dim, cosine, target), "grid-links", most))
     alone = rows.where(~F.col("ok")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     if not found:
         return alone
@@ -203,10 +214,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, target: float =
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
     groups = components(links.where(F.col("other").isNotNull()).select(F.col("node").alias("a"), F.col("other").alias("b")))
     groups = groups.withColumnRenamed("node", "member")
-    named = nodes.select("node", "weight", "least").join(groups, F.col("node") == F.col("member"), "left").join(counts, "node", "left")
-    named = materialize(named.select("node", "weight", "least", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links")), "grid-named")
+    named = nodes.join(groups, F.col("node") == F.col("member"), "left").join(counts, "node", "left")
+    named = named.select(nodes["node"], "label", "embedding", "weight", "least", F.coalesce("component", nodes["node"]).alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
+    named = materialize(named, "grid-named", most)
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "component").select("node", (F.col("links") + F.col("weight") - 1).alias("n_links"), "component_id")
-    linked = able.select("vec_id", "node").join(named, "node").select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    named = named.join(least, "component").select("label", "embedding", (F.col("links") + F.col("weight") - 1).alias("n_links"), "component_id")
+    linked = able.select("vec_id", "label", "embedding").join(named, ["label", "embedding"]).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
     discard(nodes)
     return linked.union(alone)
