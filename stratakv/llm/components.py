@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 from .common import discard, materialize, tasks
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, most: int | None = None) -> DataFrame:
     """(node, component) for every node of edges(a, b), both of one orderable type; component is the least node reachable.
 
-    Self-loops, repeated edges and either direction are allowed; rows with a null end are ignored.
+    Self-loops, repeated edges and either direction are allowed; rows with a null end are ignored.  most: tasks that
+    the first table is written with at most.
     """
     edges = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now = materialize(edges, "edges")
+    now = materialize(edges, "edges", most)
     state = _state(now)
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

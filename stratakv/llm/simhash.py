@@ -9,7 +9,9 @@ two nodes of that depth, if their own difference leaves budget.  A part returns
 never its pairs.  Components of the forests are found on the cluster.
 
 Defined results: null and wordless texts have fingerprint zero and link like any other; equal fingerprints are
-one node; repeated rows and extra columns change nothing; an empty table gives an empty result.
+one node; repeated rows and extra columns change nothing; a null doc_id links as others do but names no component
+(component_id is null where no member has one); texts of any length are read whole; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, drop_held, materialize, text_batches, text_buffer
+from .common import discard, drop_held, materialize, prepare, tasks, text_batches, text_buffer
 from .components import components
 from .hashing import run_starts, spaced, words
 
@@ -254,24 +256,26 @@ def fingerprint_table(docs: DataFrame, size: int = WORDS) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def _components(table: DataFrame, budget: int) -> DataFrame:
+def _components(table: DataFrame, budget: int, most: int) -> DataFrame:
     """(fp, least, component) of the distinct fingerprints of table(doc_id, fp); component is a fingerprint, never null."""
-    distinct = materialize(table.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    found = components(links(distinct.select("fp"), budget))
+    distinct = materialize(table.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct", most)
+    found = components(links(distinct.select("fp"), budget), most)
     named = distinct.join(found, distinct.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    named = materialize(named, "simhash-named")
+    named = materialize(named, "simhash-named", most)
     discard(distinct)
     return named
 
 
 def near_duplicates(docs: DataFrame, size: int = WORDS, budget: int = BUDGET) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs(doc_id, text)."""
+    prepare(docs.sparkSession)
     table = materialize(fingerprint_table(docs, size), "simhash")
-    named = _components(table, budget)
+    most = tasks(docs.sparkSession, table.count())
+    named = _components(table, budget, most)
     # component of each fingerprint, then the least doc_id of each component
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     out = named.join(least, "component").select("fp", "component_id")
-    return table.join(out, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return table.join(out, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id").coalesce(most)
 
 
 def representatives(docs: DataFrame, size: int = WORDS, budget: int = BUDGET) -> DataFrame:
@@ -291,10 +295,11 @@ def representatives(docs: DataFrame, size: int = WORDS, budget: int = BUDGET) ->
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     rows = materialize(docs.mapInArrow(run, f"{schema}, fp long"), "simhash-rows")
-    named = _components(rows.select("doc_id", "fp"), budget)
+    most = tasks(docs.sparkSession, rows.count())
+    named = _components(rows.select("doc_id", "fp"), budget, most)
     least = named.groupBy("component").agg(F.min("least").alias("least"))
     wanted = named.withColumnRenamed("least", "own").join(least, "component").where(F.col("own").eqNullSafe(F.col("least"))).select(F.col("fp").alias("print"), "component", "least")
     near = rows.join(wanted, (F.col("fp") == F.col("print")) & F.col("doc_id").eqNullSafe(F.col("least")))
     order = F.struct(*[F.struct(F.col(c).isNull(), F.col(c)) for c in ("text", *[c for c in columns if c not in ("doc_id", "text")])])
     kept = near.groupBy("component").agg(F.min(F.struct(order.alias("o"), F.struct(*columns).alias("x"))).alias("m"))
-    return kept.select("m.x.*")
+    return kept.select("m.x.*").coalesce(most)
