@@ -56,6 +56,27 @@ def _serialize(kind: str, ids: list[int]) -> bytes:
     return out.tobytes()
 
 
+class _Kept(dict):
+    """chunk -> serialized ids; what two generations didn't ask for goes.  A chunk not here is None until it is set, and noted as unseen."""
+
+    def __init__(self):
+        super().__init__()
+        self.older: dict[bytes, bytes] = {}
+        self.unseen: list[bytes] = []
+
+    def __missing__(self, chunk: bytes) -> bytes | None:
+        value = self.older.get(chunk)
+        if value is None:
+            self.unseen.append(chunk)
+        self[chunk] = value
+        return value
+
+    def turn(self, most: int) -> None:
+        if len(self) > most:
+            self.older = dict(self)
+            self.clear()
+
+
 class LibraryEncoder:
     """Chunk by chunk through the tokenizers library; ids as serialized bytes.  Chunks that two generations didn't hold go.
 
@@ -73,8 +94,7 @@ class LibraryEncoder:
             suffix = json.load(f)["model"].get("end_of_word_suffix")
         self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
         self.ends[[i for x, i in self.tokenizer.get_vocab().items() if suffix and x.endswith(suffix)]] = True
-        self.kept: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.kept = _Kept()
 
     def _each(self, chunks: list[bytes]) -> None:
         kind = "H" if self.width == 2 else "I"
@@ -99,27 +119,24 @@ class LibraryEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         chunks = [split_chunks(t) for t in texts]
-        if len(self.kept) > KEEP:
-            self.older, self.kept = self.kept, {}
-        kept, older = self.kept, self.older
-        found = [list(map(kept.get, cs)) for cs in chunks]
-        missing = {c for cs, vs in zip(chunks, found, strict=True) if None in vs for c, v in zip(cs, vs, strict=True) if v is None}
-        unseen, words = [], []
-        for c in missing:
-            old = older.get(c)
-            if old is not None:
-                kept[c] = old
-            elif c.isalpha() or c.decode("utf-8").isalpha():
-                words.append(c)
-            else:
-                unseen.append(c)
+        kept = self.kept
+        kept.turn(KEEP)
+        found = [list(map(kept.__getitem__, cs)) for cs in chunks]
+        words, others = [], []
+        for c in kept.unseen:
+            (words if c.isalpha() or c.decode("utf-8").isalpha() else others).append(c)
         self._together(words)
-        self._each(unseen)
-        out = [b"".join(vs if None not in vs else [kept[c] if v is None else v for c, v in zip(cs, vs, strict=True)]) for cs, vs in zip(chunks, found, strict=True)]
-        for c in missing:
+        self._each(others)
+        for cs, vs in zip(chunks, found, strict=True):
+            at = -1
+            for _ in range(vs.count(None)):
+                at = vs.index(None, at + 1)
+                vs[at] = kept[cs[at]]
+        for c in kept.unseen:
             if len(c) > 64:
                 del kept[c]
-        return out
+        kept.unseen = []
+        return list(map(b"".join, found))
 
 
 def library_encoder(path: str) -> LibraryEncoder:
