@@ -19,6 +19,7 @@ import heapq
 import json
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -81,7 +82,7 @@ def split_chunks(data: bytes) -> list[bytes]:
 
 
 class _Chunks(dict):
-    """chunk -> (ids as decimal text, decoded text), computed when first asked for; what two generations didn't ask for goes."""
+    """chunk -> (ids as decimal text, ids), computed when first asked for; what two generations didn't ask for goes."""
 
     def __init__(self, encoder):
         super().__init__()
@@ -91,8 +92,7 @@ class _Chunks(dict):
         value = self.older.get(chunk)
         if value is None:
             ids = self.encoder.chunk_ids(chunk)
-            strings = self.encoder.strings
-            value = (" ".join(map(str, ids)), " ".join([strings[i] for i in ids]))
+            value = (" ".join(map(str, ids)), tuple(ids))
         if len(chunk) <= LONGEST_KEPT:
             if len(self) >= KEEP:
                 self.older = dict(self)
@@ -119,7 +119,8 @@ class Encoder:
         ids = self.vocab
         self.merges = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(pairs)}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.strings = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.added.items()}
+        strings = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.added.items()}
+        self.strings = [strings.get(i, "") for i in range(max(strings, default=-1) + 1)]
         self._added = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self._library = Tokenizer.from_file(path)
         self._inside = {c: ids[c] for c in ids if len(c) == 1}
@@ -160,16 +161,16 @@ class Encoder:
 
     def encode(self, text: str | bytes | None) -> list[int]:
         data = text.encode("utf-8") if isinstance(text, str) else bytes(text or b"")
-        return [int(i) for chunk in split_chunks(data) for i in self.chunks[chunk][0].split()]
+        return [i for chunk in split_chunks(data) for i in self.chunks[chunk][1]]
 
     def decode(self, ids: Iterable[int]) -> str:
-        return " ".join([self.strings[int(i)] for i in ids])
+        """The vocabulary strings of ids, joined as the library joins them."""
+        return " ".join(map(self.strings.__getitem__, ids))
 
     def encode_decode(self, data: bytes) -> tuple[str, str]:
         """(ids in decimal, joined by one space; the text decoded from them)."""
-        chunks = self.chunks
-        found = list(map(chunks.__getitem__, split_chunks(data)))
-        return " ".join([x[0] for x in found if x[0]]), " ".join([x[1] for x in found if x[0]])
+        found = list(map(self.chunks.__getitem__, split_chunks(data)))
+        return " ".join([x[0] for x in found if x[0]]), self.decode(chain.from_iterable([x[1] for x in found]))
 
 
 def encoder(path: str) -> Encoder:
@@ -190,7 +191,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         enc = encoder(path)
         for batch, texts in _texts(batches):
-            ids = [[int(i) for i in enc.encode_decode(t)[0].split()] for t in texts]
+            ids = [enc.encode(t) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
