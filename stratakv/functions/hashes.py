@@ -46,3 +46,20 @@ def bit_positions(hashes: np.ndarray, bits: int, k: int) -> np.ndarray:
         x = (x ^ (x >> np.uint32(16))) * np.uint32(0x45D9F3B)
         x = (x ^ (x >> np.uint32(16))) * np.uint32(0x45D9F3B)
     return ((x ^ (x >> np.uint32(16))).astype(np.uint64) % np.uint64(bits)).astype(np.int64)
+
+
+def mix32(value):
+    """A 32-bit integer mixer as a Column of longs; sums and shifts wrap at 32 bits.
+
+    Fixed values: constants and shifts of the public six-step mixer, in order.
+    """
+    from pyspark.sql import functions as F
+
+    steps = [(0x7ED55D16, "+", "<", 12), (0xC761C23C, "^", ">", 19), (0x165667B1, "+", "<", 5), (0xD3A2646C, "+^", "<", 9), (0xFD7046C5, "+", "<", 3), (0xB55A4F09, "^", ">", 16)]
+    mask = F.lit(0xFFFFFFFF)
+    a = value.cast("long").bitwiseAND(mask)
+    for constant, how, way, by in steps:
+        moved = F.shiftright(a, by) if way == ">" else F.shiftleft(a, by).bitwiseAND(mask)
+        left = a.bitwiseXOR(F.lit(constant)) if how == "^" else (a + F.lit(constant)).bitwiseAND(mask)
+        a = (left + moved).bitwiseAND(mask) if how == "+" else left.bitwiseXOR(moved)
+    return a

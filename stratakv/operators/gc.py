@@ -54,3 +54,24 @@ def extents(addresses: DataFrame, most: int = 32768) -> DataFrame:
     first = islands.groupBy("file", "island").agg(F.min("lba").alias("s"), F.count("*").alias("n"))
     cut = first.withColumn("k", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / most).cast("int"))))
     return cut.select("file", (F.col("s") + F.col("k") * most).alias("start"), F.least(F.lit(most), F.col("n") - F.col("k") * most).cast("long").alias("length"))
+
+
+def trigger(stats: DataFrame, blocks: int, percent: int = 20) -> DataFrame:
+    """(free, needed, exhausted): collection starts when at most ``percent`` of all blocks are free."""
+    used = stats.agg(F.count("*").alias("used")).select((F.lit(blocks) - F.col("used")).alias("free"))
+    return used.select("free", (F.col("free") * 100 / blocks <= percent).alias("needed"), (F.col("free") <= 0).alias("exhausted"))
+
+
+def swap_reserve(victims: DataFrame, reserve: int) -> DataFrame:
+    """(unit, active, reserve): a unit's reserve takes the survivors, and its erased victim is the next reserve."""
+    return victims.select("unit", (F.lit(reserve) + F.col("unit")).alias("active"), F.col("block").alias("reserve"))
+
+
+def translation_updates(moves: DataFrame, entries: int) -> DataFrame:
+    """(tpage, n): translation pages that a collection must read and write again, and the mappings that change in each."""
+    return moves.groupBy(F.floor(F.col("lpa") / entries).cast("long").alias("tpage")).agg(F.count("*").alias("n"))
+
+
+def lsm_data_updates(moves: DataFrame, found: DataFrame) -> DataFrame:
+    """(level, run, n) of moves(key) and found(key, level, run): headers that a collection of values must write again."""
+    return moves.join(found, "key").groupBy("level", "run").agg(F.count("*").alias("n"))

@@ -119,3 +119,77 @@ def compact_cascade(levels: list[DataFrame], capacities: list[int], factor: floa
             out[k + 1] = merge(out[k], out[k + 1])
             out[k] = out[k].limit(0)
     return out
+
+
+def level_into(entries: DataFrame, upper: int, lower: int) -> DataFrame:
+    """Leveling: the entries of ``upper`` go to ``lower`` and win there; other levels stay as they are."""
+    moved = merge(entries.where(F.col("level") == upper).select("key", "ppa"), entries.where(F.col("level") == lower).select("key", "ppa"))
+    rest = entries.where(~F.col("level").isin(upper, lower)).select("level", "key", "ppa")
+    return rest.unionByName(moved.select(F.lit(lower).alias("level"), "key", "ppa"))
+
+
+def cascade(entries: DataFrame, capacities: list[int], factor: float = 10.0) -> DataFrame:
+    """Full levels move down, the top one first, until one is not full."""
+    for k, capacity in enumerate(capacities):
+        if not level_full(entries.where(F.col("level") == k).count(), capacity, factor):
+            break
+        entries = level_into(entries, k, k + 1)
+    return entries
+
+
+def force_largest(entries: DataFrame, last: int) -> DataFrame:
+    """The level above ``last`` with most entries (the first on ties) goes to ``last``; nothing, if all above are empty."""
+    sizes = {r.level: r["count"] for r in entries.where(F.col("level") < last).groupBy("level").count().collect()}  # one row a level
+    return level_into(entries, max(sizes, key=lambda k: (sizes[k], -k)), last) if sizes else entries
+
+
+def force_deepest(entries: DataFrame, last: int) -> DataFrame:
+    """The deepest level above ``last`` that holds anything goes to ``last``."""
+    found = entries.where(F.col("level") < last).agg(F.max("level")).first()[0]
+    return entries if found is None else level_into(entries, found, last)
+
+
+def reinsert(entries: DataFrame, moved: DataFrame) -> DataFrame:
+    """Pages that a collection moved come back through level 0; a key that level 0 has already stays newer."""
+    fresh = moved.join(entries.where("level = 0").select("key"), "key", "left_anti").select(F.lit(0).alias("level"), "key", "ppa")
+    return entries.select("level", "key", "ppa").unionByName(fresh)
+
+
+def insert_replacing(table: DataFrame, new: DataFrame) -> DataFrame:
+    """(key, ppa, invalid_ppa): new entries replace old ones, whose pages become invalid."""
+    old = table.select("key", F.col("ppa").alias("old"))
+    both = old.join(new.select("key", F.col("ppa").alias("now")), "key", "full")
+    return both.select("key", F.coalesce("now", "old").alias("ppa"), F.when(F.col("now").isNotNull(), F.col("old")).alias("invalid_ppa"))
+
+
+def insert_unique(table: DataFrame, new: DataFrame) -> DataFrame:
+    """(key, ppa, refused): an insert that must be new is refused where the key exists."""
+    there = table.select("key", F.lit(True).alias("refused"))
+    return new.join(there, "key", "left").select("key", "ppa", F.coalesce("refused", F.lit(False)).alias("refused"))
+
+
+def layered_search(layers: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, layer, ppa, probed) of layers(layer, key, ppa): the first layer that has each key, and how many were asked; null and all, if none has."""
+    most = layers.agg(F.count_distinct("layer").alias("all_layers"))
+    names = layers.select("layer").distinct().withColumn("at", F.row_number().over(Window.orderBy("layer")))  # a row a layer
+    hit = layers.groupBy("key").agg(F.min(F.struct("layer", "ppa")).alias("x")).select("key", "x.layer", "x.ppa").join(F.broadcast(names), "layer")
+    found = keys.join(hit, "key", "left").crossJoin(F.broadcast(most))
+    return found.select("key", "layer", "ppa", F.coalesce("at", "all_layers").cast("long").alias("probed"))
+
+
+def runs_from(runs: DataFrame, found: DataFrame, n: int) -> DataFrame:
+    """(key, level, run): of found(key, level, run) each containing run and those after it, ``n`` in all where there are so many."""
+    wanted = found.withColumn("run", F.explode(F.sequence(F.col("run"), F.col("run") + n - 1)))
+    return wanted.join(runs.select("level", "run"), ["level", "run"]).select("key", "level", "run")
+
+
+def full_levels(entries: DataFrame, capacity: int, factor: float) -> DataFrame:
+    """(level, n, full) by the rule of level_full, as columns."""
+    limit = F.lit(capacity * 0.95 if capacity >= 100 else capacity * (factor - 1) / factor)
+    return entries.groupBy("level").agg(F.count("*").alias("n")).withColumn("full", F.col("n") >= limit)
+
+
+def rates_by_level(levels: DataFrame, factor: float, depth: int, reads: float = 1.0) -> DataFrame:
+    """(level, rate): false-positive rates that grow with the level, so that all filters together cost ``reads`` extra reads."""
+    first = reads * (1 - factor) / (1 - factor ** (depth - 1))
+    return levels.select("level", F.round(F.lit(first) * F.pow(F.lit(factor), F.col("level")), 9).alias("rate"))

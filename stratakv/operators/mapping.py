@@ -50,14 +50,14 @@ def _prime(n: int) -> int:
     return n
 
 
-def insert_probing(keys: DataFrame, slots: int | None = None, shards: int = 8, most: int = 1024, per_shard: int = 512) -> DataFrame:
+def insert_probing(keys: DataFrame, slots: int | None = None, shards: int = 8, most: int = 1024, per_shard: int = 512, with_slots: bool = False) -> DataFrame:
     """(shard, slot, key, c): keys inserted in order of arrival, each at its first free probe.
 
     Every insertion depends on those before it, so the table is sharded by hash and a shard is walked in order.
     keys(seq, key).  Without ``slots`` there are as many shards as hold ``per_shard`` keys each on average, and a
     shard has one slot more (slot 0 is never used) than the least prime above twice its keys: probes c + c * c then
     reach more slots than are taken, and every key is placed.  With ``slots``, a key beyond ``most`` probes is
-    returned with a null slot.
+    returned with a null slot.  with_slots: the shard's number of slots is returned too.
     """
     import pandas as pd
 
@@ -82,9 +82,10 @@ def insert_probing(keys: DataFrame, slots: int | None = None, shards: int = 8, m
                     break
             else:
                 out.append((key[0], None, name, limit))
-        return pd.DataFrame(out, columns=["shard", "slot", "key", "c"]).astype({"slot": "Int64"})
+        return pd.DataFrame([(*row, own) for row in out], columns=["shard", "slot", "key", "c", "slots"]).astype({"slot": "Int64"})
 
-    return hashed.withColumn("shard", shard).groupBy("shard").applyInPandas(walk, "shard long, slot long, key string, c long")
+    placed = hashed.withColumn("shard", shard).groupBy("shard").applyInPandas(walk, "shard long, slot long, key string, c long, slots long")
+    return placed if with_slots else placed.drop("slots")
 
 
 def allocate(writes: DataFrame, units: int = 64) -> DataFrame:

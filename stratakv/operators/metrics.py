@@ -63,3 +63,26 @@ def in_flight(spans: DataFrame, width: int) -> DataFrame:
 def gather(parts: DataFrame) -> DataFrame:
     """(parent, done) of parts(parent, expected, ok): a request ends when all its parts did."""
     return parts.groupBy("parent").agg((F.count_if("ok") == F.max("expected")).alias("done"))
+
+
+def millisecond_histogram(io: DataFrame) -> DataFrame:
+    """(ms, n): whole milliseconds below ten, 10 for those up to a second, 11 from a second on."""
+    ms = F.when(F.col("latency_us") >= 1_000_000, 11).otherwise(F.least(F.floor(F.col("latency_us") / 1000), F.lit(10)))
+    return io.groupBy(ms.cast("long").alias("ms")).agg(F.count("*").alias("n"))
+
+
+def demand_amplification(traffic: DataFrame) -> DataFrame:
+    """(waf, raf) of traffic(kind, cause, write, n): what data requests cost with translation pages and collections counted in."""
+    total = lambda write, own: F.sum(F.when((F.col("write") == write) & (~F.lit(own) | ((F.col("kind") == "data") & (F.col("cause") == "request"))), F.col("n")).otherwise(0))
+    return traffic.agg(F.round(total(True, False) / total(True, True), 6).alias("waf"), F.round(total(False, False) / total(False, True), 6).alias("raf"))
+
+
+def cause_breakdown(traffic: DataFrame) -> DataFrame:
+    """(cause, data_reads, data_writes, trans_reads, trans_writes) of traffic(kind, cause, write, n)."""
+    cell = lambda kind, write: F.coalesce(F.sum(F.when((F.col("kind") == kind) & (F.col("write") == write), F.col("n"))), F.lit(0)).cast("long")
+    return traffic.groupBy("cause").agg(cell("data", False).alias("data_reads"), cell("data", True).alias("data_writes"), cell("trans", False).alias("trans_reads"), cell("trans", True).alias("trans_writes"))
+
+
+def replay_rate(pages, seconds: float, page: int = 8192):
+    """Decimal megabytes a second of so many replayed pages."""
+    return F.round(pages * page / seconds / 1e6, 4)

@@ -18,16 +18,16 @@ def visible(log: DataFrame) -> DataFrame:
 
 
 def get(state: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, val, status) of each requested key; unknown ones are NOTFOUND."""
-    found = keys.join(state.select("key", "val"), "key", "left")
-    return found.select("key", "val", F.when(F.col("val").isNull(), "NOTFOUND").otherwise("OK").alias("status"))
+    """(key, val, status) of each requested key; unknown ones are NOTFOUND, live ones are OK even if their value is null."""
+    found = keys.join(state.select("key", "val", F.lit(True).alias("there")), "key", "left")
+    return found.select("key", "val", F.when(F.col("there"), "OK").otherwise("NOTFOUND").alias("status"))
 
 
 def multi_get(state: DataFrame, requests: DataFrame) -> DataFrame:
     """(req, n_keys, n_found, sum_val) of requests(req, keys): all keys of a request are looked up together."""
     one = requests.select("req", F.explode("keys").alias("key"))
-    found = one.join(state.select("key", "val"), "key", "left")
-    return found.groupBy("req").agg(F.count("*").alias("n_keys"), F.count("val").alias("n_found"), F.round(F.sum("val"), 4).alias("sum_val"))
+    found = one.join(state.select("key", "val", F.lit(True).alias("there")), "key", "left")
+    return found.groupBy("req").agg(F.count("*").alias("n_keys"), F.count("there").alias("n_found"), F.round(F.sum("val"), 4).alias("sum_val"))
 
 
 def multi_set(requests: DataFrame) -> DataFrame:
@@ -51,21 +51,23 @@ def as_of_get(log: DataFrame, chunk: int = 1024) -> DataFrame:
     inside = Window.partitionBy("key", "c").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     seen = log.withColumn("near", F.last(write, ignorenulls=True).over(inside)).where("op = 'GET'").join(carried, ["key", "c"])
     found = F.coalesce("near", "carry")
-    val = F.when(found["op"] == "SET", found["val"])
-    return seen.select("seq", "key", val.alias("val"), F.when(val.isNull(), "NOTFOUND").otherwise("OK").alias("status"))
+    live = found["op"] == "SET"
+    return seen.select("seq", "key", F.when(live, found["val"]).alias("val"), F.when(live, "OK").otherwise("NOTFOUND").alias("status"))
 
 
 def read_modify_write(state: DataFrame, patches: DataFrame) -> DataFrame:
-    """state(key, text) with patches(key, patch, off) applied."""
-    patched = F.overlay(F.col("text"), F.col("patch"), F.col("off") + 1)
-    return state.join(patches, "key", "left").select("key", F.when(F.col("patch").isNull(), F.col("text")).otherwise(patched).alias("text"))
+    """state(key, text) with patches(key, patch, off) applied; several patches of a key form a chain, by ``seq`` if there is one, else by offset and patch."""
+    order = ["seq"] if "seq" in patches.columns else []
+    chains = patches.groupBy("key").agg(F.sort_array(F.collect_list(F.struct(*order, "off", "patch"))).alias("chain"))
+    patched = F.aggregate("chain", F.col("text"), lambda text, x: F.overlay(text, x["patch"], x["off"] + 1))
+    return state.join(chains, "key", "left").select("key", F.when(F.col("chain").isNull(), F.col("text")).otherwise(patched).alias("text"))
 
 
 def pending_overlay(state: DataFrame, pending: DataFrame) -> DataFrame:
     """State as reads see it while writes wait: the last pending write of a key hides the stored value."""
     last = latest(pending).select("key", F.col("op").alias("p_op"), F.col("val").alias("p_val"))
     both = state.select("key", "val").join(last, "key", "full")
-    return both.where("p_op is null or p_op = 'SET'").select("key", F.coalesce("p_val", "val").alias("val"), F.col("p_op").isNotNull().alias("pending"))
+    return both.where("p_op is null or p_op = 'SET'").select("key", F.when(F.col("p_op").isNotNull(), F.col("p_val")).otherwise(F.col("val")).alias("val"), F.col("p_op").isNotNull().alias("pending"))
 
 
 def coalesce_writes(log: DataFrame, batch: int) -> DataFrame:
@@ -79,3 +81,18 @@ def schedule(log: DataFrame, batch: int) -> DataFrame:
     rank = F.when(F.col("op") == "GET", 0).otherwise(1)
     rows = log.withColumn("batch", F.floor(F.col("seq") / batch).cast("long"))
     return rows.select("batch", (F.row_number().over(Window.partitionBy("batch").orderBy(rank, "seq"))).alias("place"), "seq", "op")
+
+
+def schedule_with_retries(log: DataFrame, batch: int) -> DataFrame:
+    """(batch, place, seq) of log(seq, op, retry): within a batch retried requests go first, then reads, then writes."""
+    rank = F.when(F.col("retry"), 0).when(F.col("op") == "GET", 1).otherwise(2)
+    rows = log.withColumn("batch", F.floor(F.col("seq") / batch).cast("long"))
+    return rows.select("batch", F.row_number().over(Window.partitionBy("batch").orderBy(rank, "seq")).cast("long").alias("place"), "seq")
+
+
+def classify(requests: DataFrame) -> DataFrame:
+    """(type, name, n): requests by type number; those of no known type are UNKNOWN, and completed like any other."""
+    # fixed values: the request type numbers
+    names = {1: "SET", 2: "GET", 3: "DELETE"}
+    name = F.coalesce(F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("type")], F.lit("UNKNOWN"))
+    return requests.groupBy("type").agg(F.count("*").alias("n")).select("type", name.alias("name"), "n")

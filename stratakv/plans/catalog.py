@@ -69,7 +69,7 @@ def _probes(spark):
 PROBES = "probes AS (SELECT 'user' || lpad(CAST(i AS VARCHAR), 12, '0') AS key FROM range(0, 400, 3) t(i))"
 
 
-@register(f"WITH {STATE}, {PROBES} SELECT p.key, s.val, CASE WHEN s.val IS NULL THEN 'NOTFOUND' ELSE 'OK' END AS status FROM probes p LEFT JOIN state s USING (key)")
+@register(f"WITH {STATE}, {PROBES} SELECT p.key, s.val, CASE WHEN s.seq IS NULL THEN 'NOTFOUND' ELSE 'OK' END AS status FROM probes p LEFT JOIN state s USING (key)")
 def kv_point_get(spark, sf_dir):
     return state.get(visible(spark, sf_dir), _probes(spark))
 
@@ -80,7 +80,7 @@ def kv_get_notfound(spark, sf_dir):
 
 
 @register(f"""WITH {STATE}, r AS (SELECT i // 5 AS req, 'user' || lpad(CAST(i * 3 AS VARCHAR), 12, '0') AS key FROM range(0, 100) t(i))
-SELECT req, count(*) AS n_keys, count(val) AS n_found, round(sum(val), 4) AS sum_val FROM r LEFT JOIN state USING (key) GROUP BY req""")
+SELECT req, count(*) AS n_keys, count(seq) AS n_found, round(sum(val), 4) AS sum_val FROM r LEFT JOIN state USING (key) GROUP BY req""")
 def kv_multi_get(spark, sf_dir):
     ids = spark.range(0, 100).groupBy(F.floor(F.col("id") / 5).alias("req")).agg(F.collect_list(K.encode_key(F.col("id") * 3)).alias("keys"))
     return state.multi_get(visible(spark, sf_dir), ids)
@@ -120,7 +120,7 @@ w AS (SELECT *, seq > (SELECT c FROM cut) AS late, row_number() OVER (PARTITION
 SELECT key, val, late AS pending FROM w WHERE rn = 1 AND op = 'SET'""")
 def kv_pending_overlay(spark, sf_dir):
     log = adapters.oplog(spark, sf_dir)
-    cut = log.agg(F.max("seq")).first()[0] - 200
+    cut = (log.agg(F.max("seq")).first()[0] or 0) - 200
     return state.pending_overlay(state.visible(log.where(F.col("seq") <= cut)), log.where(F.col("seq") > cut))
 
 
@@ -311,7 +311,7 @@ def waf_raf(spark, sf_dir):
     return metrics.amplification(log, log.select((F.col("vlen") > 4096).alias("write")))
 
 
-@register(f"""WITH {STATE}, {PROBES}, f AS (SELECT s.val IS NULL AS miss FROM probes LEFT JOIN state s USING (key))
+@register(f"""WITH {STATE}, {PROBES}, f AS (SELECT s.seq IS NULL AS miss FROM probes LEFT JOIN state s USING (key))
 SELECT count(*) AS n, round(1 - count(*) FILTER (WHERE miss) / count(*), 6) AS success, round(8192 * count(*) / 1024 / 2.5::DOUBLE * (1 - count(*) FILTER (WHERE miss) / count(*)), 4) AS kb_s, round(count(*) / 2.5::DOUBLE, 4) AS iops FROM f""")
 def throughput(spark, sf_dir):
     return metrics.throughput(state.get(visible(spark, sf_dir), _probes(spark)), 2.5)
@@ -528,7 +528,7 @@ def lsm_runs_before(spark, sf_dir):
     return lsm.disjoint_before(lsm.flush_runs(adapters.levels(spark, sf_dir)), 900).select("level", "run")
 
 
-@register(f"WITH {RUNS} SELECT level, CAST(0 AS BIGINT) AS violations FROM runs GROUP BY level")
+@register(f"WITH {RUNS}, b AS (SELECT level, first_key <= lag(last_key) OVER (PARTITION BY level ORDER BY run) AS bad FROM runs) SELECT level, count(*) FILTER (WHERE bad) AS violations FROM b GROUP BY level")
 def lsm_runs_ordered(spark, sf_dir):
     return lsm.ordered(lsm.flush_runs(adapters.levels(spark, sf_dir)))
 
@@ -594,7 +594,7 @@ def kv_key_bounds_all(spark, sf_dir):
     return scans.bounds(keys, probes, 256)
 
 
-@register(f"WITH {STATE}, {ALL_PROBES} SELECT p.key, s.val, CASE WHEN s.val IS NULL THEN 'NOTFOUND' ELSE 'OK' END AS status FROM probes p LEFT JOIN state s USING (key)")
+@register(f"WITH {STATE}, {ALL_PROBES} SELECT p.key, s.val, CASE WHEN s.seq IS NULL THEN 'NOTFOUND' ELSE 'OK' END AS status FROM probes p LEFT JOIN state s USING (key)")
 def kv_point_get_all(spark, sf_dir):
     return state.get(visible(spark, sf_dir), _all_probes(spark, sf_dir).select(K.encode_key(F.col("id")).alias("key")))
 
@@ -604,13 +604,13 @@ def kv_get_notfound_all(spark, sf_dir):
     return kv_point_get_all(spark, sf_dir).where("status = 'NOTFOUND'").select("key")
 
 
-@register(f"WITH {STATE}, {ALL_PROBES} SELECT id // 5 AS req, count(*) AS n_keys, count(val) AS n_found, round(sum(val), 4) AS sum_val FROM probes LEFT JOIN state USING (key) GROUP BY req")
+@register(f"WITH {STATE}, {ALL_PROBES} SELECT id // 5 AS req, count(*) AS n_keys, count(seq) AS n_found, round(sum(val), 4) AS sum_val FROM probes LEFT JOIN state USING (key) GROUP BY req")
 def kv_multi_get_all(spark, sf_dir):
     ids = _all_probes(spark, sf_dir).groupBy(F.floor(F.col("id") / 5).alias("req")).agg(F.collect_list(K.encode_key(F.col("id"))).alias("keys"))
     return state.multi_get(visible(spark, sf_dir), ids)
 
 
-@register(f"""WITH {STATE}, {ALL_PROBES}, f AS (SELECT s.val IS NULL AS miss FROM probes LEFT JOIN state s USING (key))
+@register(f"""WITH {STATE}, {ALL_PROBES}, f AS (SELECT s.seq IS NULL AS miss FROM probes LEFT JOIN state s USING (key))
 SELECT count(*) AS n, round(1 - count(*) FILTER (WHERE miss) / count(*), 6) AS success, round(8192 * count(*) / 1024 / 2.5::DOUBLE * (1 - count(*) FILTER (WHERE miss) / count(*)), 4) AS kb_s, round(count(*) / 2.5::DOUBLE, 4) AS iops FROM f""")
 def throughput_all(spark, sf_dir):
     return metrics.throughput(kv_point_get_all(spark, sf_dir), 2.5)
@@ -729,3 +729,6 @@ def stream_latest_state(spark, sf_dir):
     from ..streaming.requests import latest_state
 
     return latest_state(spark, sf_dir)
+
+
+from . import extended  # noqa: E402, F401  registers its queries here

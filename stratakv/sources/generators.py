@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.runtime import ordinal
+
 
 def even(n: int) -> int:
     """Request counts are rounded down to even."""
@@ -53,3 +55,16 @@ def local_keys(spark: SparkSession, n: int, span: int, locality: int = 50, hot_s
     hot = int(span * hot_share)
     pick = uniform(F.col("id"), 100, seed) < locality
     return spark.range(even(n)).select(F.col("id").alias("seq"), F.when(pick, uniform(F.col("id"), hot, seed + 1)).otherwise(hot + uniform(F.col("id"), span - hot, seed + 2)).alias("key"))
+
+
+def permuted(spark: SparkSession, n: int, seed: int = 1) -> DataFrame:
+    """Every key of [0, n) once, in hash order; seq is the position, found by buckets of the hash and not by a global sort."""
+    rows = permutation(spark, n, seed)
+    bits = max(1, min(16, (n // 1000).bit_length()))
+    bucket = F.shiftright(F.conv(F.substring("place", 1, 4), 16, 10).cast("int"), 16 - bits)
+    return ordinal(rows, bucket, ["place"], "seq").select("seq", "op", "key")
+
+
+def value_sizes(spark: SparkSession, n: int, pieces: int, seed: int = 1) -> DataFrame:
+    """(seq, pieces): value sizes from one piece to one less than a page has."""
+    return spark.range(even(n)).select(F.col("id").alias("seq"), (1 + uniform(F.col("id"), pieces - 1, seed)).alias("pieces"))

@@ -6,7 +6,7 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 KV_SCHEMA = "type int, keylen int, seq long, scanlength int, key string, valuelen int"
@@ -77,3 +77,16 @@ def encode_stream(rows: list[tuple]) -> bytes:
         raw = key.encode("latin-1")
         out += struct.pack("<BBI", kind, len(raw), seq) + (struct.pack(">I", scan) if kind == 3 else b"") + raw + (struct.pack(">I", vlen) if kind == 1 else b"")
     return out
+
+
+def pack_stream(rows: pd.DataFrame) -> pd.DataFrame:
+    """One stream of rows(kind, seq, scan, key, vlen), in order of seq."""
+    ordered = rows.sort_values("seq")
+    return pd.DataFrame({"content": [encode_stream(list(zip(*(ordered[c] for c in ("kind", "seq", "scan", "key", "vlen")), strict=True)))]})
+
+
+def write_levels(entries: DataFrame, path: str, size: int = 510) -> None:
+    """Dump levels(level, key, ppa) as sorted runs, a folder a level."""
+    place = F.row_number().over(Window.partitionBy("level").orderBy("key")) - 1
+    runs = entries.withColumn("run", F.floor(place / size).cast("long"))
+    runs.repartition("level", "run").sortWithinPartitions("run", "key").write.partitionBy("level").parquet(path)

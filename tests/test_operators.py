@@ -147,3 +147,144 @@ def test_probe_insertion_places_every_key(spark):
             slot = ((h + c + c * c) & 0xFFFFFFFF) % size + 1
             taken.add(slot)
             assert (held[key].slot, held[key].c) == (slot, c)
+
+
+def test_live_keys_with_null_values_are_found(spark):
+    live = spark.createDataFrame([("a", None), ("b", 1.0)], "key string, val double")
+    asked = spark.createDataFrame([("a",), ("b",), ("c",)], "key string")
+    assert {r.key: r.status for r in state.get(live, asked).collect()} == {"a": "OK", "b": "OK", "c": "NOTFOUND"}
+    log = spark.createDataFrame([(1, "a", "SET", None), (2, "a", "GET", None), (3, "a", "DELETE", None), (4, "a", "GET", None)], "seq long, key string, op string, val double")
+    assert {r.seq: r.status for r in state.as_of_get(log).collect()} == {2: "OK", 4: "NOTFOUND"}
+
+
+def test_patches_of_a_key_are_a_chain(spark):
+    pages = spark.createDataFrame([("a", "0123456789"), ("b", "xy")], "key string, text string")
+    patches = spark.createDataFrame([("a", "BB", 2, 2), ("a", "CCCC", 1, 1), ("a", "Z", 9, 3)], "key string, patch string, off int, seq int")
+    assert {r.key: r.text for r in state.read_modify_write(pages, patches).collect()} == {"a": "0CBBC5678Z", "b": "xy"}
+
+
+def test_caches_against_plain_lists(spark):
+    from stratakv.operators import layers
+
+    rng = random.Random(12)
+    rows = [(c, i, min(rng.randrange(60), rng.randrange(60)), rng.random() < 0.3) for c in range(3) for i in range(700)]
+    df = spark.createDataFrame(rows, "cache long, seq long, page long, dirty boolean").repartition(5)
+    want, fine, split = {}, {}, {}
+    for c in range(3):
+        order, dirty, hits, evicted = [], set(), 0, [0, 0]
+        held, fine_hits, pages_out = [], 0, 0
+        lists, split_hits, written = ([], []), 0, 0
+        for _, _, page, d in (r for r in rows if r[0] == c):
+            if page in order:
+                hits += 1
+                order.remove(page)
+            elif len(order) == 5:
+                gone = order.pop(0)
+                evicted[gone in dirty] += 1
+                dirty.discard(gone)
+            order.append(page)
+            dirty |= {page} if d else set()
+
+            if page in held:
+                fine_hits += 1
+                held.remove(page)
+            elif len(held) >= 8:
+                first = held[0] // 4
+                held = [x for x in held if x // 4 != first]
+                pages_out += 1
+            held.append(page)
+
+            at = 1 if page in lists[1] else 0 if page in lists[0] else None
+            to = 1 if d or at == 1 else 0
+            if at is not None:
+                split_hits += 1
+                lists[at].remove(page)
+            if len(lists[to]) == (6, 3)[to]:
+                lists[to].pop(0)
+                written += to
+            lists[to].append(page)
+        want[c], fine[c], split[c] = (700, hits, evicted[1], evicted[0]), (700, fine_hits, pages_out), (700, split_hits, written)
+    assert {r.cache: tuple(r)[1:] for r in cache.lru(df, 5).collect()} == want
+    assert {r.cache: tuple(r)[1:] for r in layers.walk_caches(df, lambda: layers.fine_cache(8, 4), "evicted").collect()} == fine
+    assert {r.cache: tuple(r)[1:] for r in layers.walk_caches(df, lambda: layers.split_cache(6, 3), "written").collect()} == split
+
+
+def test_runs_by_bytes_and_by_count(spark):
+    rng = random.Random(2)
+    rows = [(s, k, rng.randrange(1, 60)) for s in range(3) for k in range(200)]
+    got = {(r.shard, r.run): (r.n, r.bytes) for r in lsm.flush_by_bytes(spark.createDataFrame(rows, "shard long, key long, size long"), 200, 8).collect()}
+    want = {}
+    for s in range(3):
+        run, n, held = 0, 0, 0
+        for _, _, size in (r for r in rows if r[0] == s):
+            if n and (n == 8 or held + size + 4 > 200):
+                run, n, held = run + 1, 0, 0
+            n, held = n + 1, held + size + 4
+            want[s, run] = (n, held)
+    assert got == want
+
+
+def test_probing_places_and_finds_every_key(spark):
+    from stratakv.functions.keys import probe_slot
+    from stratakv.operators import layers
+    from pyspark.sql import functions as F
+
+    keys = spark.createDataFrame([(i, f"k{i * 7 % 500}") for i in range(900)], "seq long, key string")
+    placed = mapping.insert_probing(keys, per_shard=60, with_slots=True).persist()
+    rows = placed.collect()
+    assert len({r.key for r in rows}) == len(rows) == 500 and len({(r.shard, r.slot) for r in rows}) == 500
+    import hashlib
+
+    first = {}
+    for i in range(900):
+        first.setdefault(f"k{i * 7 % 500}", i)
+    taken = {}
+    for r in sorted(rows, key=lambda r: first[r.key]):  # plain insertion in order of arrival
+        h = 0
+        for k in range(8):
+            h ^= int(hashlib.sha256(r.key.encode()).hexdigest()[8 * k : 8 * k + 8], 16)
+        for c in range(r.slots):
+            slot = ((h + c + c * c) & 0xFFFFFFFF) % (r.slots - 1) + 1
+            if taken.setdefault((r.shard, slot), r.key) == r.key:
+                break
+        assert (r.slot, r.c) == (slot, c)
+    tried = placed.select("key", "shard", "slots", F.explode(F.sequence(F.lit(0), F.lit(max(r.c for r in rows)))).alias("c"))
+    from stratakv.functions.keys import fold_words
+
+    tried = tried.withColumn("slot", ((fold_words("key") + F.col("c") + F.col("c") * F.col("c")).bitwiseAND(0xFFFFFFFF) % (F.col("slots") - 1) + 1).cast("long"))
+    found = {r.key: r for r in layers.probe_lookup(placed, tried).collect()}
+    assert all((found[r.key].c, found[r.key].slot, found[r.key].wrong) == (r.c, r.slot, r.c) for r in rows)
+
+
+def test_pages_are_packed_largest_first(spark):
+    rng = random.Random(7)
+    rows = [(b, i, rng.randrange(1, 17)) for b in range(3) for i in range(60)]
+    got = {(r.batch, r.page): (r.used, r.n) for r in packing.pack(spark.createDataFrame(rows, "batch long, seq long, size long")).collect()}
+    want = {}
+    for b in range(3):
+        left, page = sorted((r[2] for r in rows if r[0] == b), reverse=True), 0
+        while left:
+            used, n, rest = 0, 0, []
+            for size in left:
+                if used + size <= 16:
+                    used, n = used + size, n + 1
+                else:
+                    rest.append(size)
+            want[b, page], left, page = (used, n), rest, page + 1
+    assert got == want
+
+
+@pytest.mark.parametrize(("runs", "levels"), [(100, 1), (1000, 2), (12345, 4)])
+def test_size_factor_is_the_least_that_holds_all_runs(runs, levels):
+    f = lsm.size_factor(runs, levels)
+    assert sum(f**k for k in range(1, levels + 1)) >= runs > sum((f - 0.03) ** k for k in range(1, levels + 1))
+
+
+def test_merge_gives_the_merged_list_and_the_invalidated_pages(spark):
+    rng = random.Random(11)
+    upper, lower = ({k: rng.randrange(10**6) for k in rng.sample(range(6000), 400)} for _ in range(2))
+    entries = spark.createDataFrame([(0, k, p) for k, p in upper.items()] + [(1, k, p) for k, p in lower.items()], "level int, key long, ppa long")
+    got = lsm.insert_replacing(entries.where("level = 1"), entries.where("level = 0")).collect()
+    assert {r.key: r.ppa for r in got} == lower | upper
+    assert {r.invalid_ppa for r in got if r.invalid_ppa is not None} == {lower[k] for k in upper.keys() & lower.keys()}
+    assert {r.key: r.ppa for r in lsm.level_into(entries, 0, 1).collect()} == lower | upper
