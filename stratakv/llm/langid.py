@@ -31,6 +31,7 @@ from .hashing import prefix_hash, span_hash
 
 SAMPLE_DOCS, WORDS, ROUNDS, LONGEST = 600, 20_000, 2, 16
 KEEP = 300_000
+MOST_BROADCAST = 10_000
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 _MARK = "▁".encode()
@@ -174,6 +175,9 @@ def training_words(docs: DataFrame, seed: str = "langid") -> list[tuple[str, byt
     """(lang, word, count) over the bounded sample of docs(doc_id, text, lang); lower-cased words."""
     docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = docs.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(SAMPLE_DOCS) / F.count("*")).alias("share"))
+    few = sizes.limit(MOST_BROADCAST + 1).collect()
+    if len(few) <= MOST_BROADCAST:  # so many languages at most are sent to all tasks; more are joined by a shuffle
+        sizes = F.broadcast(docs.sparkSession.createDataFrame(few, sizes.schema))
     chosen = docs.join(sizes, "lang").where(F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 20)) < F.col("share") * (1 << 20))
 
     def count(batches):

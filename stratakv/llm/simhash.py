@@ -1,12 +1,13 @@
 """Operator 3: SimHash near-duplicates by binary trie self-joins.
 
-Fingerprints that differ in at most ``budget`` bits agree on at least one of budget + 1 blocks of bits, so the
-distinct fingerprints are dealt out once for each block, by the block's value.  Within such a group a binary
-trie over the fingerprints is joined with itself: pairs of nodes are traversed together from the root, the
-bits in which their paths differ are accumulated, and a pair over the budget is pruned with all below it.  A
-group too large for one task is dealt out further by the next bits of the trie: each part holds the pairs of
-two nodes of that depth, if their own difference leaves budget.  A part returns a forest that spans its links,
-never its pairs.  Components of the forests are found on the cluster.
+Fingerprints that differ in at most ``budget`` bits agree on at least two of budget + 2 blocks of bits, so the
+distinct fingerprints are dealt out once for each pair of blocks, by the two values: groups of 20 bits or more stay
+small however many fingerprints there are.  Within such a group a binary trie over the fingerprints is joined with
+itself: pairs of nodes are traversed together from the root, the bits in which their paths differ are accumulated,
+and a pair over the budget is pruned with all below it.  Many groups are traversed at once.  A group too large for
+one task is dealt out further by the next bits of the trie: each part holds the pairs of two nodes of that depth, if
+their own difference leaves budget.  A part returns a forest that spans its links, never its pairs.  Components of
+the forests are found on the cluster.
 
 Defined results: null and wordless texts have fingerprint zero and link like any other; equal fingerprints are
 one node; repeated rows and extra columns change nothing; a null doc_id links as others do but names no component
@@ -72,10 +73,10 @@ def fingerprints(batches: Iterator[pa.RecordBatch], size: int = WORDS) -> Iterat
 
 
 def blocks(budget: int) -> list[tuple[int, int]]:
-    """(shift, width) of budget + 1 blocks that cover 64 bits."""
-    n = budget + 1
-    edges = [64 * k // n for k in range(n + 1)]
-    return [(edges[k], edges[k + 1] - edges[k]) for k in range(n)]
+    """(bits below, width) of budget + 2 blocks that cover 64 bits, the topmost first."""
+    n = budget + 2
+    edges = [64 - 64 * k // n for k in range(n + 1)]
+    return [(edges[k + 1], edges[k] - edges[k + 1]) for k in range(n)]
 
 
 class Forest:
@@ -83,6 +84,7 @@ class Forest:
 
     def __init__(self, n: int):
         self.parent = np.arange(n)
+        self.joined = False
 
     def roots(self, x: np.ndarray) -> np.ndarray:
         p = self.parent
@@ -94,6 +96,7 @@ class Forest:
             r = nxt
 
     def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.joined = True
         while len(a):
             a, b = self.roots(a), self.roots(b)
             different = a != b
@@ -105,19 +108,22 @@ class Forest:
         self.parent = self.roots(np.arange(len(self.parent)))
 
 
-def trie_join(prints: np.ndarray, budget: int, other: np.ndarray | None = None, chunk: int = 1 << 20) -> Forest:
-    """Forest over sorted distinct fingerprints whose trees are the components of links within budget bits.
+def trie_join(prints: np.ndarray, budget: int, starts: np.ndarray | None = None, stops: np.ndarray | None = None, depth: int = 0, chunk: int = 1 << 20) -> Forest:
+    """Forest over distinct fingerprints whose trees are the components of links within budget bits.
 
     The trie is implicit: a node of depth d is the range of positions that share their first d bits.  Pairs of
-    nodes whose leaves are all in one tree already are pruned too.  With ``other``, a boolean of positions,
-    only pairs between its two sides are wanted.
+    nodes whose leaves are all in one tree already are pruned too.  starts, stops: ranges of positions, each sorted
+    and a trie of its own; all of a range's prints share their first ``depth`` bits.
     """
     n = len(prints)
     forest = Forest(n)
-    if n < 2:
+    if starts is None:
+        starts, stops = np.zeros(1, np.int64), np.full(1, n)
+    starts, stops = starts[stops - starts > 1], stops[stops - starts > 1]
+    if not len(starts):
         return forest
     # frames of node pairs: ranges [a0, a1) and [b0, b1) with a0 <= b0, bits that differ, depth; kept as a stack
-    stack = [(np.zeros(1, np.int64), np.full(1, n), np.zeros(1, np.int64), np.full(1, n), np.zeros(1, np.int64), 0)]
+    stack = [(starts, stops, starts, stops, np.zeros(len(starts), np.int64), depth)]
     while stack:
         a0, a1, b0, b1, spent, depth = stack.pop()
         leaf = (a1 - a0 == 1) & (b1 - b0 == 1)
@@ -130,7 +136,7 @@ def trie_join(prints: np.ndarray, budget: int, other: np.ndarray | None = None,
             a0, a1, b0, b1, spent = a0[rest], a1[rest], b0[rest], b1[rest], spent[rest]
         if not len(a0):
             continue
-        if depth:  # whole subtrees in one tree: nothing to add
+        if forest.joined:  # whole subtrees in one tree: nothing to add
             roots = forest.parent
             flat = np.concatenate([[0], np.cumsum(roots[1:] != roots[:-1])])
             one = (roots[a0] == roots[b0]) & (flat[a1 - 1] == flat[a0]) & (flat[b1 - 1] == flat[b0])
@@ -170,78 +176,60 @@ def _split(prints: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: np.uint64) -
         lo = np.where(open_ & ~one, mid + 1, lo)
 
 
-def _rotated(prints: np.ndarray, shift: int, width: int) -> np.ndarray:
-    """The block's bits moved to the top, so that the trie below a group starts after them."""
-    left = np.uint64(shift)
-    return prints if shift == 0 else (prints << left) | (prints >> (np.uint64(64) - left))
-
-
-def _back(prints: np.ndarray, shift: int) -> np.ndarray:
-    left = np.uint64(shift)
-    return prints if shift == 0 else (prints >> left) | (prints << (np.uint64(64) - left))
-
-
 def links(distinct: DataFrame, budget: int = BUDGET, large: int = LARGE) -> DataFrame:
     """(a, b): edges of forests that connect all of distinct(fp long) within budget bits."""
     cuts = blocks(budget)
-
-    def rotate(shift):
-        left = F.shiftleft("fp", shift)
-        return F.col("fp") if shift == 0 else left.bitwiseOR(F.shiftrightunsigned("fp", 64 - shift))
-
-    dealt = distinct.select(F.explode(F.array(*[F.struct(F.lit(k).alias("block"), rotate(s).alias("rot"), F.shiftrightunsigned(rotate(s), 64 - w).alias("value")) for k, (s, w) in enumerate(cuts)])).alias("x")).select("x.*")
-    dealt = materialize(dealt, "simhash-dealt")
+    pairs = [(i, j) for j in range(len(cuts)) for i in range(j)]
+    widths = [cuts[i][1] + cuts[j][1] for i, j in pairs]
+
+    def moved(pair):
+        """The fingerprint with the pair's blocks first, so that the trie below a group starts after them."""
+        out, below = F.lit(0).cast("long"), 64
+        for k in (*pair, *[k for k in range(len(cuts)) if k not in pair]):
+            low, width = cuts[k]
+            below -= width
+            out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1)), below))
+        return out
+
+    dealt = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("block"), moved(p).alias("rot")) for k, p in enumerate(pairs)])).alias("x")).select("fp", "x.*")
+    width = F.element_at(F.array(*map(F.lit, widths)), F.col("block") + 1)
+    dealt = dealt.withColumn("w", width).withColumn("value", F.expr("shiftrightunsigned(rot, 64 - w)"))
     counts = dealt.groupBy("block", "value").count().where(F.col("count") > 1)
     # Depth at which a large group is cut into nodes: about ``large`` rows a node if bits were even.
     depth = F.when(F.col("count") <= large, F.lit(0)).otherwise(F.least(F.lit(12), F.ceil(F.log2(F.col("count") / large)).cast("int") + 1))
-    groups = counts.select("block", "value", depth.alias("depth"))
-    rows = dealt.join(groups, ["block", "value"])
-    width = F.element_at(F.array(*[F.lit(w) for _, w in cuts]), F.col("block") + 1)
+    rows = dealt.join(counts.select("block", "value", depth.alias("depth")), ["block", "value"])
     node = F.expr("cast(shiftrightunsigned(shiftleft(rot, w), 64 - depth) as int)")
-    rows = rows.withColumn("w", width).withColumn("node", F.when(F.col("depth") == 0, F.lit(0)).otherwise(node))
+    rows = rows.withColumn("node", F.when(F.col("depth") == 0, F.lit(0)).otherwise(node))
     # A node meets every node within budget of it; the part is named by the two, the smaller first.
     codes = F.filter(F.sequence(F.lit(0), F.expr("cast(shiftleft(1, depth) - 1 as int)")), lambda c: F.bit_count(c.bitwiseXOR(F.col("node"))) <= budget)
-    parts = rows.withColumn("mate", F.explode(codes))
-    parts = parts.select("block", "value", F.least("node", "mate").alias("p"), F.greatest("node", "mate").alias("q"), "rot")
+    parts = rows.withColumn("mate", F.explode(F.when(F.col("depth") == 0, F.array(F.lit(0))).otherwise(codes)))
+    keys = ["block", "value", "p", "q"]
+    parts = parts.select("block", "value", F.least("node", "mate").alias("p"), F.greatest("node", "mate").alias("q"), "rot", "fp")
 
     def joined(batches: Iterator[pa.RecordBatch]):
-        """Rows come sorted by part; each part is joined alone, a batch of results at a time."""
-        held, name, out = [], None, []
+        """Rows come sorted by part; whole parts are joined together, some 65,536 rows at a time."""
+        rest = np.zeros((len(keys) + 2, 0), np.int64)
         for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("block", "value", "p", "q")])
-            rot = batch.column("rot").to_numpy()
-            edges = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(rot)], strict=True):
-                if hi > lo:
-                    k = tuple(keys[:, lo].tolist())
-                    if k != name:
-                        _spanned(held, name, out)
-                        held, name = [], k
-                    held.append(rot[lo:hi])
-            if sum(map(len, out)) > 1 << 16:
-                yield _edges(out)
-                out = []
-        _spanned(held, name, out)
-        yield _edges(out)
-
-    def _spanned(held, name, out):
-        if not held:
-            return
-        prints = np.unique(np.concatenate(held).view(np.uint64))
-        if len(prints) < 2:
-            return
-        root = trie_join(prints, budget).parent
-        off = np.flatnonzero(root != np.arange(len(prints)))
-        if len(off):
-            back = _back(prints, cuts[name[0]][0]).view(np.int64)
-            out.append(np.stack([back[off], back[root[off]]]))
-
-    def _edges(out):
-        both = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+            rest = np.concatenate([rest, np.stack([batch.column(c).to_numpy().astype(np.int64) for c in (*keys, "rot", "fp")])], axis=1)
+            edges = _edges_of(rest)
+            if rest.shape[1] > 1 << 16 and len(edges) > 2:
+                yield spanned(rest[:, : edges[-2]], edges[:-1])
+                rest = rest[:, edges[-2] :]
+        if rest.shape[1]:
+            yield spanned(rest, _edges_of(rest))
+
+    def _edges_of(rows):
+        n = rows.shape[1]
+        return np.concatenate([[0], np.flatnonzero((rows[: len(keys), 1:] != rows[: len(keys), :-1]).any(axis=0)) + 1, [n]]) if n else np.zeros(1, np.int64)
+
+    def spanned(rows, edges):
+        root = trie_join(rows[-2].view(np.uint64), budget, edges[:-1], edges[1:], min(widths)).parent
+        off = np.flatnonzero(root != np.arange(len(root)))
+        fp = rows[-1]
+        return pa.RecordBatch.from_arrays([pa.array(fp[off]), pa.array(fp[root[off]])], ["a", "b"])
 
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_parts = parts.repartition(n, "block", "value", "p", "q").sortWithinPartitions("block", "value", "p", "q")
+    sorted_parts = parts.repartition(n, *keys).sortWithinPartitions(*keys, "rot")
     return sorted_parts.mapInArrow(joined, "a long, b long")
 
 
