@@ -7,15 +7,22 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.runtime import bucket_width, ordinal
+
 #: Entries of a mapping page, pairs of a memtable.
 RUN_ENTRIES, MEMTABLE = 510, 1024
 
 
+def placed_runs(entries: DataFrame, by: str = "level", size: int = RUN_ENTRIES) -> DataFrame:
+    """entries with the run that each falls into when they are sorted and cut into runs of ``size``; positions come from buckets of keys."""
+    width = bucket_width(entries, "key")
+    placed = ordinal(entries, F.floor(F.col("key") / width), ["key"], "place", (by,))
+    return placed.withColumn("run", F.floor(F.col("place") / size).cast("long")).drop("place")
+
+
 def flush_runs(entries: DataFrame, by: str = "level", size: int = RUN_ENTRIES) -> DataFrame:
     """(by, run, first_key, last_key, n): sorted entries cut into runs of ``size``."""
-    place = F.row_number().over(Window.partitionBy(by).orderBy("key")) - 1
-    runs = entries.withColumn("run", F.floor(place / size).cast("long"))
-    return runs.groupBy(by, "run").agg(F.min("key").alias("first_key"), F.max("key").alias("last_key"), F.count("*").alias("n"))
+    return placed_runs(entries, by, size).groupBy(by, "run").agg(F.min("key").alias("first_key"), F.max("key").alias("last_key"), F.count("*").alias("n"))
 
 
 def flush_by_bytes(entries: DataFrame, limit: int = 7168, count: int = RUN_ENTRIES) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import keys as K
 from ..operators import bloom, cache, gc, lsm, mapping, metrics, packing, scans, state, textscan
 from ..sources import adapters, generators, traces
-from .runtime import table, work_path
+from .runtime import bucket_width, table, work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -151,14 +151,14 @@ def kv_range_batch(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     keys = part.where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("key"))
     starts = part.where("p_partkey % 97 = 0").select(F.col("p_partkey").alias("start")).distinct()
-    return scans.range_batch(keys, starts, 10, 256)
+    return scans.range_batch(keys, starts, 10, bucket_width(keys, "key"))
 
 
 @register(f"WITH {PARTKEYS} SELECT s.start AS probe, (SELECT max(key) FROM k WHERE key <= s.start) AS floor, (SELECT min(key) FROM k WHERE key >= s.start) AS lower FROM s")
 def kv_key_bounds(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     keys = part.where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("key"))
-    return scans.bounds(keys, part.where("p_partkey % 97 = 0").select(F.col("p_partkey").alias("probe")).distinct(), 256)
+    return scans.bounds(keys, part.where("p_partkey % 97 = 0").select(F.col("p_partkey").alias("probe")).distinct(), bucket_width(keys, "key"))
 
 
 @register(f"WITH {STATE} SELECT key FROM state WHERE starts_with(key, 'user00000000001')")
@@ -536,7 +536,7 @@ def lsm_runs_ordered(spark, sf_dir):
 @register(f"WITH {RUNS} SELECT k.key, r.level, r.run FROM (SELECT i AS key FROM range(0, 1500, 11) t(i)) k JOIN runs r ON k.key BETWEEN r.first_key AND r.last_key")
 def lsm_run_of_key(spark, sf_dir):
     entries = adapters.levels(spark, sf_dir)
-    return lsm.run_of(lsm.flush_runs(entries), spark.range(0, 1500, 11).withColumnRenamed("id", "key"), entries, 256)
+    return lsm.run_of(lsm.flush_runs(entries), spark.range(0, 1500, 11).withColumnRenamed("id", "key"), entries, bucket_width(entries, "key"))
 
 
 @register(f"""WITH {LEVELS}, s AS (SELECT level, count(*) AS n FROM levels GROUP BY level), b AS (SELECT level, n, CAST(ceil(n * (ln(0.01) / ln(1 / pow(2, ln(2))))) AS BIGINT) AS bits FROM s)
@@ -584,14 +584,14 @@ def _all_keys(spark, sf_dir):
 SELECT f.start, CAST(i + 1 AS INTEGER) AS place, r.key FROM f CROSS JOIN range(0, 10) t(i) JOIN ranked r ON r.p = f.p + i""")
 def kv_range_batch_all(spark, sf_dir):
     keys, starts = _all_parts(spark, sf_dir, "start")
-    return scans.range_batch(keys, starts, 10, 256)
+    return scans.range_batch(keys, starts, 10, bucket_width(keys, "key"))
 
 
 @register(f"""WITH {ALL_PARTS}, a AS (SELECT s.start, r.key FROM s ASOF LEFT JOIN ranked r ON s.start >= r.key), b AS (SELECT s.start, r.key FROM s ASOF LEFT JOIN ranked r ON s.start <= r.key)
 SELECT a.start AS probe, a.key AS floor, b.key AS lower FROM a JOIN b USING (start)""")
 def kv_key_bounds_all(spark, sf_dir):
     keys, probes = _all_parts(spark, sf_dir, "probe")
-    return scans.bounds(keys, probes, 256)
+    return scans.bounds(keys, probes, bucket_width(keys, "key"))
 
 
 @register(f"WITH {STATE}, {ALL_PROBES} SELECT p.key, s.val, CASE WHEN s.seq IS NULL THEN 'NOTFOUND' ELSE 'OK' END AS status FROM probes p LEFT JOIN state s USING (key)")
@@ -636,7 +636,7 @@ def lsm_point_search_all(spark, sf_dir):
 @register(f"WITH {RUNS}, {ALL_KEYS} SELECT p.key, r.level, r.run FROM p JOIN runs r ON p.key BETWEEN r.first_key AND r.last_key")
 def lsm_run_of_key_all(spark, sf_dir):
     entries = adapters.levels(spark, sf_dir)
-    return lsm.run_of(lsm.flush_runs(entries), _all_keys(spark, sf_dir), entries, 256)
+    return lsm.run_of(lsm.flush_runs(entries), _all_keys(spark, sf_dir), entries, bucket_width(entries, "key"))
 
 
 @register()

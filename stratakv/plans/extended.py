@@ -9,7 +9,7 @@ from ..functions import keys as K
 from ..operators import cache, devices, gc, layers, lsm, mapping, metrics, state
 from ..sources import adapters, generators, traces
 from .catalog import IOLOG, LEVELS, LRU, MOVED, OPLOG, RANDOM, RUNS, STATS, WRITES, _all_keys, _mixed_victims, register
-from .runtime import table, work_path
+from .runtime import bucket_width, table, work_path
 
 # --- requests ---------------------------------------------------------------------------------------------------
 
@@ -225,7 +225,7 @@ def lsm_layered_search(spark, sf_dir):
 def lsm_runs_from_key(spark, sf_dir):
     entries = adapters.levels(spark, sf_dir)
     runs = lsm.flush_runs(entries)
-    return lsm.runs_from(runs, lsm.run_of(runs, _all_keys(spark, sf_dir), entries, 256), 2)
+    return lsm.runs_from(runs, lsm.run_of(runs, _all_keys(spark, sf_dir), entries, bucket_width(entries, "key")), 2)
 
 
 @register(f"WITH {LEVELS} SELECT level, count(*) AS n, count(*) >= 950 AS \"full\" FROM levels GROUP BY level")
@@ -275,7 +275,7 @@ def gc_lsm_headers(spark, sf_dir):
     valid = _valid(spark, sf_dir)
     moves = gc.relocate(valid, _mixed_victims(valid), 10_000_000).select(F.col("lpa").alias("key"))
     entries = adapters.levels(spark, sf_dir)
-    return gc.lsm_data_updates(moves, lsm.run_of(lsm.flush_runs(entries), moves.distinct(), entries, 256))
+    return gc.lsm_data_updates(moves, lsm.run_of(lsm.flush_runs(entries), moves.distinct(), entries, bucket_width(entries, "key")))
 
 
 @register(f"WITH {STATS} SELECT v.block, v.ppa AS grain, (row_number() OVER (PARTITION BY v.block ORDER BY v.ppa) - 1) // 4 AS new_page, (row_number() OVER (PARTITION BY v.block ORDER BY v.ppa) - 1) % 4 AS slot FROM valid v WHERE v.valid")

@@ -6,9 +6,11 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lsm import placed_runs
+
 KV_SCHEMA = "type int, keylen int, seq long, scanlength int, key string, valuelen int"
 BLOCK_SCHEMA = "rw int, off long, len int"
 
@@ -87,6 +89,5 @@ def pack_stream(rows: pd.DataFrame) -> pd.DataFrame:
 
 def write_levels(entries: DataFrame, path: str, size: int = 510) -> None:
     """Dump levels(level, key, ppa) as sorted runs, a folder a level."""
-    place = F.row_number().over(Window.partitionBy("level").orderBy("key")) - 1
-    runs = entries.withColumn("run", F.floor(place / size).cast("long"))
+    runs = placed_runs(entries, "level", size)
     runs.repartition("level", "run").sortWithinPartitions("run", "key").write.partitionBy("level").parquet(path)
