@@ -189,7 +189,7 @@ def training_words(docs: DataFrame, seed: str = "langid") -> list[tuple[str, byt
             for lang, a, b in zip(batch.column("lang").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 seen.setdefault(lang, Counter()).update(x for w in raw[a:b].decode("utf-8").lower().encode("utf-8").split() for x in cut(w))
             for lang, words in seen.items():
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words)), pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], ["lang", "word", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], ["lang", "word", "n"])
 
     words = chosen.select("lang", "text").mapInArrow(count, "lang string, word binary, n long")
     words = words.groupBy("lang", "word").agg(F.sum("n").alias("n"))

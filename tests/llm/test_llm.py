@@ -680,6 +680,20 @@ def test_pipeline_tells_rows_apart_without_doc_ids(spark):
     assert got == plan and len(mixed) < 3 * len(rows) + 3
 
 
+def test_pipeline_stages_on_hard_and_empty_tables(spark, hard, empty):
+    import corpus_pipeline as pipeline
+
+    kept, none = hard, empty
+    for k, (_, stage) in enumerate(pipeline.STAGES):
+        none, kept = stage(spark, none, SF), stage(spark, kept, SF)
+        if k < 4:
+            assert none.columns == kept.columns == pipeline.COLUMNS  # columns with clashing names go in the first stage
+            none, kept = none.persist(), kept.persist()
+            assert kept.count() > 0
+        assert none.count() == 0
+    assert kept.count() > 0
+
+
 def test_registered_queries():
     import __spark_entry__ as entry
 
