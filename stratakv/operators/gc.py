@@ -10,10 +10,11 @@ def block_stats(valid: DataFrame) -> DataFrame:
     return valid.groupBy("block").agg(F.count("*").alias("pages"), F.count_if(~F.col("valid")).alias("invalid"), F.min("ppa").alias("born"))
 
 
-def greedy(stats: DataFrame, units: int) -> DataFrame:
-    """(unit, block, invalid): for each parallel unit the block with most invalid pages, the first on ties."""
-    best = F.max(F.struct("invalid", (-F.col("block")).alias("b")))
-    return stats.groupBy((F.col("block") % units).alias("unit")).agg(best.alias("x")).select("unit", (-F.col("x.b")).alias("block"), F.col("x.invalid").alias("invalid"))
+def greedy(stats: DataFrame, units: int, live: bool = False) -> DataFrame:
+    """(unit, block, invalid): for each parallel unit the block with most invalid pages, the first on ties; with ``live``, its valid pages too."""
+    best = F.max(F.struct("invalid", (-F.col("block")).alias("b"), "pages"))
+    more = [(F.col("x.pages") - F.col("x.invalid")).alias("live")] if live else []
+    return stats.groupBy((F.col("block") % units).alias("unit")).agg(best.alias("x")).select("unit", (-F.col("x.b")).alias("block"), F.col("x.invalid").alias("invalid"), *more)
 
 
 def oldest(stats: DataFrame, units: int) -> DataFrame:
@@ -22,12 +23,10 @@ def oldest(stats: DataFrame, units: int) -> DataFrame:
 
 
 def relocate(valid: DataFrame, victims: DataFrame, reserve: int) -> DataFrame:
-    """(lpa, old_ppa, new_ppa): valid pages of victims move to the reserve in address order of each victim."""
-    moved = valid.where("valid").join(victims.select("block"), "block")
-    sizes = moved.groupBy("block").agg(F.count("*").alias("n"))
-    base = sizes.select("block", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    """(lpa, old_ppa, new_ppa): valid pages of victims(block, live) move to the reserve in address order of each victim, a block a parallel unit."""
+    base = victims.select("block", F.coalesce(F.sum("live").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     place = F.row_number().over(Window.partitionBy("block").orderBy("ppa")) - 1
-    return moved.withColumn("place", place).join(base, "block").select("lpa", F.col("ppa").alias("old_ppa"), (F.lit(reserve) + F.col("base") + F.col("place")).cast("long").alias("new_ppa"))
+    return valid.where("valid").join(base, "block").withColumn("place", place).select("lpa", F.col("ppa").alias("old_ppa"), (F.lit(reserve) + F.col("base") + F.col("place")).cast("long").alias("new_ppa"))
 
 
 def remap(mapping: DataFrame, moves: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import keys as K
 from ..operators import bloom, cache, gc, lsm, mapping, metrics, packing, scans, state, textscan
 from ..sources import adapters, generators, traces
-from .runtime import bucket_width, table, work_path
+from .runtime import bucket_width, stored, table, work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -433,20 +433,19 @@ moved AS (SELECT v.lpa, v.ppa AS old_ppa, 10000000 + row_number() OVER (ORDER BY
 
 def _mixed_victims(valid):
     """The greedy choice among blocks that still hold something."""
-    return gc.greedy(gc.block_stats(valid).where("invalid < pages"), 8)
+    return gc.greedy(gc.block_stats(valid).where("invalid < pages"), 8, live=True)
 
 
 @register(f"WITH {MOVED} SELECT lpa, old_ppa, new_ppa FROM moved")
 def gc_relocate(spark, sf_dir):
-    valid = mapping.validity(adapters.page_writes(spark, sf_dir))
+    valid = stored(mapping.validity(adapters.page_writes(spark, sf_dir)), "valid")
     return gc.relocate(valid, _mixed_victims(valid), 10_000_000)
 
 
 @register(f"WITH {MOVED} SELECT v.lpa, coalesce(m.new_ppa, v.ppa) AS ppa FROM valid v LEFT JOIN moved m ON m.old_ppa = v.ppa WHERE v.valid")
 def gc_remap(spark, sf_dir):
-    writes = adapters.page_writes(spark, sf_dir)
-    valid = mapping.validity(writes)
-    return gc.remap(mapping.current(writes), gc.relocate(valid, _mixed_victims(valid), 10_000_000))
+    valid = stored(mapping.validity(adapters.page_writes(spark, sf_dir)), "valid")
+    return gc.remap(valid.where("valid").select("lpa", "ppa"), gc.relocate(valid, _mixed_victims(valid), 10_000_000))
 
 
 @register(f"WITH {STATS} SELECT count(*) AS pages, count(*) FILTER (WHERE valid) AS valid FROM valid WHERE block NOT IN (SELECT block FROM victims)")

@@ -27,6 +27,13 @@ def work_path(spark: SparkSession, tag: str) -> str:
     return f"{at}/stratakv-{tag}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """df as a table in the shared folder: what is dear and read several times is computed once."""
+    path = work_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bucket_width(rows: DataFrame, column: str, most: int = 16_384, least: int = 256) -> int:
     """Width that cuts a column of longs into ``most`` buckets at most, none narrower than ``least``: sums over buckets stay small, whatever the data."""
     low, high = rows.agg(F.min(column), F.max(column)).first()
